@@ -7,7 +7,7 @@ of the models' log-likelihoods per word: over the whole text, over its most toxi
 words, and over its most toxic words; a logistic curve fitted on other labelled texts makes it a score.
 
 Counts live in tables of a fixed number of hashed slots: words' bigrams are summed over the cluster, slot
-tables of at most SLOTS rows reach the driver, and the model that tasks get is a fixed 12 MB, whatever
+tables of at most SLOTS rows reach the driver, and the model that tasks get is a fixed 20 MB, whatever
 the input. Labels are broadcast up to BROADCAST_LABELS rows, beyond that joined by a shuffle.
 
 Training rows are those with crc32(doc_id) mod 3 = 0 for the counts and = 2 for the curve; = 1 is held out.
@@ -30,11 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import field, materialise, slices, table, text_or_empty
 
-BIGRAM_BITS, WORD_BITS = 19, 18
+BIGRAM_BITS, WORD_BITS = 20, 19
 SLOTS = 1 << BIGRAM_BITS
 MIXER = np.uint64(0x9E3779B97F4A7C15)
-DISCOUNT = 0.75
+DISCOUNT = 3.0
+LEAN = 20.0
 WINDOW, PEAKS = 16, 4
+EVIDENCE = 5
+#: No single word speaks louder.
+LARGEST = 6.0
 CURVE_ROWS = 20_000
 BROADCAST_LABELS = 1_000_000
 MEMO_WORDS = 400_000
@@ -73,39 +77,49 @@ def slot(codes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bigram_counts(docs: DataFrame) -> DataFrame:
-    """code (predecessor << 32 | word, as a signed long), n0 and n1 over texts with a label 0 or 1."""
+    """code (predecessor << 32 | word, as a signed long) and its counts n0 and n1 under either label.
+
+    A bigram counts as often as distinct words stood before it, so that copies of one text count once. That is told by
+    a sketch of 64 bits, one for each hash of the word before; a sketch over half full gives way to the number of texts.
+    """
 
     def run(batches):
         memo = _Words()
         for batch in batches:
             for part in slices(batch, 2048):
-                codes, toxic = [], []
+                codes, marks, toxic = [], [], []
                 for text, label in zip(field(part, "text").to_pylist(), field(part, "toxic").to_pylist()):
                     words = word_codes(text, memo)
                     if len(words):
                         before, own = pair_codes(words)
-                        codes.append(before << np.uint64(32) | own)
-                        toxic.append(np.full(len(own), label, dtype=np.int64))
+                        found, at = np.unique(before << np.uint64(32) | own, return_index=True)
+                        codes.append(found)
+                        marks.append(np.uint64(1) << slot(pair_codes(before)[0][at], 6).astype(np.uint64))
+                        toxic.append(np.full(len(found), label == 1))
                 if codes:
-                    found, at = np.unique(np.concatenate(codes), return_inverse=True)
-                    n1 = np.bincount(at, np.concatenate(toxic), len(found)).astype(np.int64)
-                    n = np.bincount(at, minlength=len(found))
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n - n1), pa.array(n1)], names=["code", "n0", "n1"])
+                    code, mark, label = np.concatenate(codes), np.concatenate(marks), np.concatenate(toxic)
+                    order = np.argsort(code, kind="stable")
+                    code, mark, label = code[order], mark[order], label[order]
+                    starts = np.nonzero(np.concatenate([[True], code[1:] != code[:-1]]))[0]
+                    masks = [np.bitwise_or.reduceat(np.where(label == c, mark, np.uint64(0)), starts).view(np.int64) for c in (False, True)]
+                    texts = [np.add.reduceat((label == c).astype(np.int64), starts) for c in (False, True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code[starts].view(np.int64), *masks, *texts)], names=["code", "m0", "m1", "t0", "t1"])
 
-    return docs.select("text", "toxic").mapInArrow(run, "code long, n0 long, n1 long").groupBy("code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = docs.select("text", "toxic").mapInArrow(run, "code long, m0 long, m1 long, t0 long, t1 long")
+    summed = rows.groupBy("code").agg(F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1"), F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))
+    count = [F.when(F.bit_count(f"m{c}") <= 32, F.bit_count(f"m{c}").cast("long")).otherwise(F.col(f"t{c}")).alias(f"n{c}") for c in (0, 1)]
+    return summed.select("code", *count)
 
 
 class Model:
     """Slot tables of both classes; log-likelihood differences of word sequences."""
 
-    def __init__(self, bigrams: np.ndarray, contexts: np.ndarray, types: np.ndarray, continued: np.ndarray, shared: np.ndarray):
-        self.bigrams, self.contexts, self.types = (x.astype(np.float32) for x in (bigrams, contexts, types))
-        total = continued.sum(axis=1)
-        kinds = (continued > 0).sum(axis=1)
+    def __init__(self, bigrams: np.ndarray, contexts: np.ndarray, freed: np.ndarray, continued: np.ndarray, shared: np.ndarray):
+        self.bigrams, self.contexts, self.freed = (x.astype(np.float32) for x in (bigrams, contexts, freed))
         base = (shared + 1.0) / (shared.sum() + shared.size)
-        words = [(np.maximum(continued[c] - DISCOUNT, 0) + DISCOUNT * kinds[c] * base) / max(total[c], 1) for c in (0, 1)]
+        rest = np.minimum(continued, DISCOUNT).sum(axis=1)
+        words = [(np.maximum(continued[c] - DISCOUNT, 0) + (rest[c] + 1) * base) / (continued[c].sum() + 1) for c in (0, 1)]
         self.words = np.stack(words).astype(np.float32)
-        self.words = np.maximum(self.words, (base * 1e-3).astype(np.float32))
 
     def differences(self, words: np.ndarray) -> np.ndarray:
         before, own = pair_codes(words)
@@ -113,21 +127,20 @@ class Model:
         logs = []
         for c in (0, 1):
             n, lower = self.contexts[c][context], self.words[c][word]
-            higher = (np.maximum(self.bigrams[c][pair] - DISCOUNT, 0) + DISCOUNT * self.types[c][context] * lower) / np.maximum(n, 1)
-            # A context seen n times is trusted by n / (n + 2), so that rare ones lean on the shared counts.
-            trust = n / (n + 2)
-            logs.append(np.log(trust * higher + (1 - trust) * lower))
+            # LEAN more counts are given to the lower order, so that rare contexts lean on it.
+            logs.append(np.log((self.bigrams[c][pair] + (self.freed[c][context] + LEAN) * lower) / (n + LEAN)))
         return logs[1] - logs[0]
 
-    def evidence(self, words: np.ndarray) -> tuple[float, float, float, float]:
+    def evidence(self, words: np.ndarray) -> tuple[float, ...]:
+        """Per word: of the whole text, its most toxic stretch, its most toxic PEAKS words, the most toxic one; log of the length."""
         if not len(words):
-            return 0.0, 0.0, 0.0, 0.0
-        d = self.differences(words).astype(np.float64)
+            return (0.0,) * EVIDENCE
+        d = np.minimum(self.differences(words).astype(np.float64), LARGEST)
         sums = np.concatenate([[0.0], np.cumsum(d)])
         width = min(WINDOW, len(d))
         stretch = (sums[width:] - sums[:-width]).max() / WINDOW
-        peaks = np.sort(np.partition(d, len(d) - PEAKS)[-PEAKS:]) if len(d) > PEAKS else np.sort(d)
-        return d.mean(), stretch, peaks.sum() / PEAKS, np.log1p(len(d))
+        peaks = np.partition(d, len(d) - PEAKS)[-PEAKS:] if len(d) > PEAKS else d
+        return d.mean(), stretch, np.maximum(peaks, 0).sum() / PEAKS, d.max(), np.log1p(len(d))
 
 
 def train(pairs: DataFrame) -> Model:
@@ -143,14 +156,18 @@ def train(pairs: DataFrame) -> Model:
     some0, some1 = ((F.col(c) > 0).cast("long") for c in ("n0", "n1"))
 
     def gathered(key: str, bits: int, *columns: Column) -> list[np.ndarray]:
-        t = keyed.groupBy(key).agg(*[F.sum(c).alias(f"c{i}") for i, c in enumerate(columns)]).toArrow()
+        sums = [F.sum(c).alias(f"c{i}") for i, c in enumerate(columns)]
+        t = keyed.groupBy(key).agg(*sums).where(" or ".join(f"c{i} > 0" for i in range(len(columns)))).toArrow()
         out = [np.zeros(1 << bits) for _ in columns]
         for i, column in enumerate(out):
             column[t[key].to_numpy()] = t[f"c{i}"].to_numpy()
         return out
 
-    bigrams = np.stack(gathered("pair", BIGRAM_BITS, F.col("n0"), F.col("n1")))
-    n0, n1, t0, t1 = gathered("context", WORD_BITS, F.col("n0"), F.col("n1"), some0, some1)
+    # Only what is left of a count by the discount matters, and few bigrams have anything left to collide with.
+    left0, left1 = (F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0)) for c in ("n0", "n1"))
+    bigrams = np.stack(gathered("pair", BIGRAM_BITS, left0, left1))
+    less0, less1 = (F.least(F.col(c).cast("double"), F.lit(DISCOUNT)) for c in ("n0", "n1"))
+    n0, n1, t0, t1 = gathered("context", WORD_BITS, F.col("n0"), F.col("n1"), less0, less1)
     c0, c1, shared = gathered("word", WORD_BITS, some0, some1, F.lit(1).cast("long"))
     return Model(bigrams, np.stack([n0, n1]), np.stack([t0, t1]), np.stack([c0, c1]), shared)
 
@@ -175,19 +192,19 @@ def remainder(doc_id: Column) -> Column:
 
 
 def with_evidence(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The kept columns and e0 to e3 of every row."""
+    """The kept columns and the evidence e0, e1, ... of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, text_or_empty().alias("__text"))
     schema = rows.drop("__text").schema
-    for i in range(4):
+    for i in range(EVIDENCE):
         schema = schema.add(f"e{i}", "double")
 
     def run(batches):
         own, memo = shared.value, _Words()
         for batch in batches:
             for part in slices(batch, 1024):
-                found = np.array([own.evidence(word_codes(t, memo)) for t in field(part, "__text").to_pylist()]).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([field(part, k) for k in keep] + [pa.array(found[:, i]) for i in range(4)], names=[*keep, "e0", "e1", "e2", "e3"])
+                found = np.array([own.evidence(word_codes(t, memo)) for t in field(part, "__text").to_pylist()]).reshape(-1, EVIDENCE)
+                yield pa.RecordBatch.from_arrays([field(part, k) for k in keep] + [pa.array(found[:, i]) for i in range(EVIDENCE)], names=[*keep, *(f"e{i}" for i in range(EVIDENCE))])
 
     return rows.mapInArrow(run, schema)
 
@@ -200,7 +217,7 @@ def labelled(docs: DataFrame, labels: DataFrame, fold: int) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> tuple[Model, Column]:
-    """The trained model and the score as an expression of e0 to e3."""
+    """The trained model and the score as an expression of the evidence."""
     labels = labels.select("doc_id", "toxic").where("toxic in (0, 1)")
     pairs = materialise(bigram_counts(labelled(docs, labels, 0)), "bigrams")
     model = train(pairs)
@@ -212,8 +229,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> tuple[Model, Column]:
     y = t["toxic"].to_numpy().astype(float)
     if len(set(y)) < 2 or not model.contexts.sum(axis=1).all():
         return model, F.lit(min(0.5, (y.sum() + 0.5) / (len(y) + 1.0)))
-    w = fit_curve(np.column_stack([t[f"e{i}"].to_numpy() for i in range(4)]), y)
-    z = sum((F.col(f"e{i}") * float(w[i]) for i in range(4)), F.lit(float(w[4])))
+    w = fit_curve(np.column_stack([t[f"e{i}"].to_numpy() for i in range(EVIDENCE)]), y)
+    z = sum((F.col(f"e{i}") * float(w[i]) for i in range(EVIDENCE)), F.lit(float(w[EVIDENCE])))
     return model, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
