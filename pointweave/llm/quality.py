@@ -179,7 +179,10 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns."""
     chosen = materialise(cutoffs(rated_documents(docs), labels), "cutoffs")
     own = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", "text", "lang")
-    return judge(with_features(own), chosen).where("kept").select("__row.*")
+    # A filter must not be pushed below the features, where each of their nested uses would be evaluated anew;
+    # it cannot pass a projection with a column that is not deterministic.
+    rated = with_features(own).withColumn("__place", F.monotonically_increasing_id())
+    return judge(rated, chosen).where(F.col("kept") & (F.col("__place") >= 0)).select("__row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
