@@ -36,15 +36,19 @@ def mix_int(x: int) -> int:
     return x ^ (x >> 16)
 
 
-def mixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Adds each unsigned 32-bit column mixed by a bijection; products of longs stay under 2^63.
+def mixed(values: Column) -> Column:
+    """An array of unsigned 32-bit longs, each mixed by a bijection; products stay under 2^63.
 
-    One projection for each round, as every round reads its input twice.
+    Each round reads its input twice. As rounds are lambdas over an array, it is computed once all the same,
+    wherever the optimiser moves or repeats the expression.
     """
-    df = df.withColumns(columns)
     for _ in range(2):
-        df = df.withColumns({c: (F.col(c).bitwiseXOR(F.shiftright(c, 16)) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK)) for c in columns})
-    return df.withColumns({c: F.col(c).bitwiseXOR(F.shiftright(c, 16)) for c in columns})
+        values = F.transform(values, lambda x: (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK)))
+    return F.transform(values, lambda x: x.bitwiseXOR(F.shiftright(x, 16)))
+
+
+def mixed_one(value: Column) -> Column:
+    return F.coalesce(F.get(mixed(F.array(value)), F.lit(0)), F.lit(0).cast("long"))
 
 
 def seed_of(shard: int) -> int:
@@ -54,8 +58,8 @@ def seed_of(shard: int) -> int:
 def with_digest(df: DataFrame, key: str, name: str = "__digest") -> DataFrame:
     """A 32-bit digest of a long key; both halves take part."""
     whole = F.coalesce(F.col(key).cast("long"), F.lit(-1).cast("long"))
-    df = mixed(df, {name: whole.bitwiseAND(F.lit(MASK))})
-    return mixed(df, {name: F.col(name).bitwiseXOR(F.shiftright(whole, 32).bitwiseAND(F.lit(MASK)))})
+    high = F.shiftright(whole, 32).bitwiseAND(F.lit(MASK))
+    return df.withColumn(name, mixed_one(mixed_one(whole.bitwiseAND(F.lit(MASK))).bitwiseXOR(high)))
 
 
 def rendezvous(df: DataFrame, weights: dict[str, list[float]], digest: str = "__digest") -> DataFrame:
@@ -63,19 +67,16 @@ def rendezvous(df: DataFrame, weights: dict[str, list[float]], digest: str = "__
     for own in weights.values():
         if not own or any(not (w > 0 and math.isfinite(w)) for w in own):
             raise ValueError("weights must be positive")
-    names = [f"__draw{j}" for j in range(max(map(len, weights.values())))]
-    df = mixed(df, {c: F.col(digest).bitwiseXOR(F.lit(seed_of(j)).cast("long")) for j, c in enumerate(names)})
+    seeds = [F.lit(seed_of(j)).cast("long") for j in range(max(map(len, weights.values())))]
+    df = df.withColumn("__draws", mixed(F.array(*[F.col(digest).bitwiseXOR(s) for s in seeds])))
     for name, own in weights.items():
-        if len(set(own)) == 1:  # draws in the high bits, shards in the low ones, counted down
-            low = len(names) - 1
-            ranked = [F.col(c) * (low + 1) + (low - j) for j, c in enumerate(names[: len(own)])]
-            best = F.greatest(*ranked) if len(ranked) > 1 else ranked[0]
-            shard = low - F.pmod(best, F.lit(low + 1))
-        else:  # -weight / ln(u) orders as the weighted draws do
-            scores = [-F.lit(float(w)) / F.ln((F.col(c) + 0.5) / F.lit(float(MASK + 1))) for c, w in zip(names, own)]
-            shard = -F.array_max(F.array(*[F.struct(x.alias("x"), F.lit(-j).alias("j")) for j, x in enumerate(scores)]))["j"]
-        df = df.withColumn(name, shard.cast("int"))
-    return df.drop(*names)
+        draws = F.slice("__draws", 1, len(own))
+        if len(set(own)) > 1:  # -weight / ln(u) orders as the weighted draws do
+            scales = F.array(*[F.lit(float(w)) for w in own])
+            draws = F.zip_with(draws, scales, lambda d, w: -w / F.ln((d + 0.5) / F.lit(float(MASK + 1))))
+        best = F.array_max(F.transform(draws, lambda d, j: F.struct(d.alias("d"), (-j).alias("j"))))
+        df = df.withColumn(name, F.coalesce(-best["j"], F.lit(0)).cast("int"))
+    return df.drop("__draws")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) -> DataFrame:
@@ -84,8 +85,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKET
 
     def dealt(rows: DataFrame, laws: dict[str, list[float]]) -> DataFrame:
         rows = rendezvous(with_digest(rows, "doc_id"), laws)
-        spread = mixed(rows, {"bucket": F.col("__digest").bitwiseXOR(F.lit(MASK))})
-        return spread.withColumn("bucket", (F.col("bucket") % buckets).cast("int")).drop("__digest")
+        spread = mixed_one(F.col("__digest").bitwiseXOR(F.lit(MASK)))
+        return rows.withColumn("bucket", F.coalesce(spread % buckets, F.lit(0)).cast("int")).drop("__digest")
 
     raw = text_or_empty().cast("binary")
     rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
