@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pointweave.plans import grouped, predicting, scalar, spatial  # noqa: F401  they register their queries
+from pointweave.plans.base import ORACLES, QUERIES
+
+flagship = spatial.flagship
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
