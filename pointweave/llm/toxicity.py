@@ -157,7 +157,10 @@ def train(pairs: DataFrame) -> Model:
 
     def gathered(key: str, bits: int, *columns: Column) -> list[np.ndarray]:
         sums = [F.sum(c).alias(f"c{i}") for i, c in enumerate(columns)]
-        t = keyed.groupBy(key).agg(*sums).where(" or ".join(f"c{i} > 0" for i in range(len(columns)))).toArrow()
+        some = columns[0] > 0
+        for c in columns[1:]:
+            some = some | (c > 0)
+        t = keyed.where(some).groupBy(key).agg(*sums).toArrow()
         out = [np.zeros(1 << bits) for _ in columns]
         for i, column in enumerate(out):
             column[t[key].to_numpy()] = t[f"c{i}"].to_numpy()
