@@ -70,6 +70,9 @@ class PrefixTable:
         self._trie.make_automaton()
         self._pairs: dict[tuple[str, str], bool] = {}
         self._memo: dict[str, str] = {}
+        self._words: dict[str, str] = {}
+        self._odd: dict[str, str] = {}
+        self._anchor = self.ids.get("a")
         self._parted = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
 
     def _fits(self, a: str, b: str) -> bool:
@@ -120,26 +123,46 @@ class PrefixTable:
             else:
                 out += [str(self.bytes_at[b]) for b in piece.encode()]
         text = " ".join(out) + " "
-        if len(part) < 48:
+        if len(part) < 48 and part[1:2] == SPACE:
             if len(self._memo) >= MEMO_PARTS:
                 self._memo.clear()
             self._memo[part] = text
         return text
 
-    def encode(self, text: str) -> str:
-        """Decimal ids joined by single spaces, the end id last."""
+    def _word(self, word: str) -> str:
+        """Ids of a word after one space, kept; a word that decodes to anything but itself is kept with that."""
+        spelled = self._ids(SPACE + word)
+        back = self.library.decode([self._anchor, *map(int, spelled.split())])[2:]
+        if back != word:
+            self._odd[word] = back
+        if len(word) < 48:
+            if len(self._words) >= MEMO_PARTS:
+                self._words.clear()
+            self._words[word] = spelled
+        return spelled
+
+    def encode(self, text: str) -> tuple[str, str]:
+        """Decimal ids joined by single spaces, the end id last, and their decoded text.
+
+        Ids of a part decode alike wherever it stands (a character's bytes never cross parts, and only the very
+        first space is dropped), so the library decodes each part once and the parts are joined.
+        """
+        end = str(self.eos)
         if not text:
-            return str(self.eos)
-        memo, ids = self._memo, self._ids
-        if not self._parted:
-            return ids(SPACE + text.replace(" ", SPACE)) + str(self.eos)
-        if SPACE in text:
-            text = text.replace(SPACE, " ")
+            return end, ""
+        text = text.replace(SPACE, " ")
         words = text.split(" ")
-        if "" in words:  # runs of spaces, or a space at either end: a run belongs to the word after it
-            parts = re.findall(" *[^ ]+| +$", " " + text)
-            return "".join([memo.get(p) or ids(p) for p in [p.replace(" ", SPACE) for p in parts]]) + str(self.eos)
-        return "".join([memo.get(p) or ids(p) for p in [SPACE + w for w in words]]) + str(self.eos)
+        if self._parted and self._anchor is not None and "" not in words:
+            memo, word = self._words, self._word
+            spelled = "".join([memo.get(w) or word(w) for w in words]) + end
+            odd = self._odd
+            return spelled, " ".join([odd.get(w, w) for w in words]) if odd else text
+        if self._parted:  # runs of spaces, or a space at either end: a run belongs to the word after it
+            memo, ids = self._memo, self._ids
+            spelled = "".join([memo.get(p) or ids(p) for p in [p.replace(" ", SPACE) for p in re.findall(" *[^ ]+| +$", " " + text)]]) + end
+        else:
+            spelled = self._ids(SPACE + text.replace(" ", SPACE)) + end
+        return spelled, self.library.decode(list(map(int, spelled.split(" "))))
 
 
 @lru_cache(maxsize=2)
@@ -153,16 +176,13 @@ def encode_documents(docs: DataFrame, path: str, with_texts: bool = False) -> Da
 
     def run(batches):
         encoder = prefix_table(path)
-        decode = encoder.library.decode
         for batch in batches:
             rows: list[tuple] = []
             for part in slices(batch):
                 for doc, text in zip(field(part, "doc_id").to_pylist(), field(part, "text").to_pylist()):
-                    spelled = encoder.encode(text)
-                    ids = list(map(int, spelled.split(" ")))
-                    decoded = decode(ids)
-                    row = (doc, len(ids), hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    rows.append((*row, ids, decoded) if with_texts else row)
+                    spelled, decoded = encoder.encode(text)
+                    row = (doc, spelled.count(" ") + 1, hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                    rows.append((*row, list(map(int, spelled.split(" "))), decoded) if with_texts else row)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             columns = list(zip(*rows)) or [()] * (6 if with_texts else 4)
