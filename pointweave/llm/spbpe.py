@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import field, slices, table, text_or_empty, vocabulary
 
 SPACE = "▁"
-MEMO_PARTS = 300_000
+MEMO_PARTS = 600_000
 MEMO_PAIRS = 2_000_000
 
 
@@ -73,8 +73,17 @@ class PrefixTable:
         self._words: dict[str, str] = {}
         self._odd: dict[str, str] = {}
         self._anchor = self.ids.get("a")
+        self._alike = self._decoding_alike()
         self._parted = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
 
+    def _decoding_alike(self) -> dict[str, str]:
+        """The decimal id and a space of each piece that the library decodes, behind another, to the text it stands for."""
+        if self._anchor is None:
+            return {}
+        pieces = list(self.ids)
+        backs = self.library.decode([[self._anchor, i] for i in self.ids.values()], num_threads=1)
+        return {p: f"{self.ids[p]} " for p, back in zip(pieces, backs) if back[1:] == p.replace(SPACE, " ")}
+
     def _fits(self, a: str, b: str) -> bool:
         known = self._pairs.get((a, b))
         if known is None:
@@ -130,11 +139,18 @@ class PrefixTable:
         return text
 
     def _word(self, word: str) -> str:
-        """Ids of a word after one space, kept; a word that decodes to anything but itself is kept with that."""
-        spelled = self._ids(SPACE + word)
-        back = self.library.decode([self._anchor, *map(int, spelled.split())])[2:]
-        if back != word:
-            self._odd[word] = back
+        """Ids of a word after one space, kept; a word that decodes to anything but itself is kept with that.
+
+        The library decodes pieces other than bytes one by one, so a word of pieces that decode to
+        their own text decodes to itself; it decodes all other words here.
+        """
+        try:
+            spelled = "".join(map(self._alike.__getitem__, self.tokens(SPACE + word)))
+        except KeyError:
+            spelled = self._ids(SPACE + word)
+            back = self.library.decode([self._anchor, *map(int, spelled.split())])[2:]
+            if back != word:
+                self._odd[word] = back
         if len(word) < 48:
             if len(self._words) >= MEMO_PARTS:
                 self._words.clear()
@@ -156,7 +172,10 @@ class PrefixTable:
             memo, word = self._words, self._word
             spelled = "".join([memo.get(w) or word(w) for w in words]) + end
             odd = self._odd
-            return spelled, " ".join([odd.get(w, w) for w in words]) if odd else text
+            decoded = " ".join([odd.get(w, w) for w in words]) if odd else text
+            if len(odd) >= MEMO_PARTS:  # between texts, and with the words that rely on it
+                odd.clear(), memo.clear()
+            return spelled, decoded
         if self._parted:  # runs of spaces, or a space at either end: a run belongs to the word after it
             memo, ids = self._memo, self._ids
             spelled = "".join([memo.get(p) or ids(p) for p in [p.replace(" ", SPACE) for p in re.findall(" *[^ ]+| +$", " " + text)]]) + end
