@@ -42,13 +42,13 @@ def work_folder(spark: SparkSession) -> str:
 class Cut:
     """A table written to the shared folder and read again, so that lost executors cost no recomputation."""
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, **options: str):
         spark = df.sparkSession
         self.path = f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
         self._hadoop = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        df.write.parquet(self.path)
+        df.write.options(**options).parquet(self.path)
         self._fs.deleteOnExit(self._hadoop)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
@@ -57,8 +57,8 @@ class Cut:
         self._fs.delete(self._hadoop, True)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    return Cut(df, tag).df
+def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    return Cut(df, tag, **options).df
 
 
 def partitions(spark: SparkSession) -> int:

@@ -17,7 +17,6 @@ doc_id is kept as null; an empty table writes no sequences; extra columns are ig
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,9 @@ from .tokens import word_ids
 CAPACITY = 4096
 END_ID = 2
 WINDOW_IDS = 2_000_000
+#: Rows of 24 KB each: how many leave a task at once, and how large the row groups are that readers hold.
+BATCH_ROWS = 64
+ROW_GROUP = {"parquet.block.size": str(16 << 20)}
 
 SEGMENT = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64())])
 PACKED = (
@@ -120,41 +122,37 @@ def packed_sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
                         pieces.append((doc, at, min(capacity, n - at), n, ids[4 * at : 4 * (at + capacity)]))
                         held += pieces[-1][2]
                         if held >= window:
-                            yield (out := rows_of(pieces, sequence))
+                            out = rows_of(pieces, sequence)
                             sequence, held, pieces = sequence + out.num_rows, 0, []
+                            yield from slices(out, BATCH_ROWS)
         if pieces:
-            yield rows_of(pieces, sequence)
+            yield from slices(rows_of(pieces, sequence), BATCH_ROWS)
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, PACKED)
 
 
-def segment_rows(packed: DataFrame) -> DataFrame:
-    """One row for each piece, read back from written sequences and checked against their own bounds."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, resets boolean"
-    names = [x.split(" ")[0] for x in schema.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for row in range(batch.num_rows):
-                sequence = field(batch, "sequence_id")[row].as_py()
-                ids, places = field(batch, "input_ids")[row].as_py(), field(batch, "position_ids")[row].as_py()
-                cuts = field(batch, "cu_seqlens")[row].as_py()
-                for a, b, s in zip(cuts, cuts[1:], field(batch, "segments")[row].as_py()):
-                    fresh = places[2 * a : 2 * b] == np.arange(b - a, dtype="<u2").tobytes()
-                    out.append((s["doc_id"], s["start"], b - a, zlib.crc32(ids[4 * a : 4 * b]), s["doc_tokens"], sequence, a, fresh))
-            columns = list(zip(*out)) or [()] * 8
-            kinds = [pa.int64()] * 7 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    return packed.mapInArrow(run, schema)
+def segment_rows(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row for each piece, read back from written sequences; resets: its position ids count from 0."""
+    ramp = F.lit(bytearray(np.arange(capacity, dtype="<u2").tobytes()))
+    start, length = F.get("cu_seqlens", F.col("k")), F.get("cu_seqlens", F.col("k") + 1) - F.get("cu_seqlens", F.col("k"))
+    pieces = packed.select("sequence_id", "input_ids", "position_ids", "cu_seqlens", F.posexplode("segments").alias("k", "s"))
+    return pieces.select(
+        "s.doc_id",
+        "s.start",
+        length.cast("long").alias("length"),
+        F.crc32(F.substr("input_ids", start * 4 + 1, length * 4)).alias("ids_crc32"),
+        "s.doc_tokens",
+        "sequence_id",
+        start.cast("long").alias("offset"),
+        (F.substr("position_ids", start * 2 + 1, length * 2) == F.substr(ramp, F.lit(1), length * 2)).alias("resets"),
+    )
 
 
 def write_packed(docs: DataFrame, path: str, out: str, **options) -> None:
     """Writes the packed sequences as Parquet files."""
-    packed_sequences(docs, path, **options).write.option("compression", "zstd").parquet(out)
+    packed_sequences(docs, path, **options).write.options(compression="zstd", **ROW_GROUP).parquet(out)
 
 
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = materialise(packed_sequences(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")), "packed")
+    packed = materialise(packed_sequences(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")), "packed", **ROW_GROUP)
     return segment_rows(packed)
