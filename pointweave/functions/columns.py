@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -125,3 +125,62 @@ def tokenize(line: Column) -> Column:
 def frame_number(path: Column) -> Column:
     digits = F.regexp_extract(path, r"(\d+)\.[^.]*$", 1)
     return F.when(digits != "", digits.cast("long"))
+
+
+#: The rule of the Hilbert curve. A curve starts at a corner and walks its eight octants in Gray order over the axes
+#: (a, b, c), a fastest. Per octant in that order: the axes of its own curve, and along which axes its start lies opposite.
+HILBERT_RULE = (("bca", ""), ("cab", ""), ("cab", ""), ("abc", "ab"), ("abc", "ab"), ("cab", "bc"), ("cab", "bc"), ("bca", "ac"))
+HILBERT_BITS = 20
+
+
+@cache
+def hilbert_tables(bits: int = HILBERT_BITS) -> tuple[list[int], list[int]]:
+    """(next state, rank) for state * 8 + octant; state 0 is the one in which a curve over ``bits`` bits starts.
+
+    Levels above the coordinates' bits lie in first octants, which only turn the axes.
+    """
+    axes = (1, 2, 4)  # of the whole curve of HILBERT_BITS: z fastest, x slowest
+    for _ in range(HILBERT_BITS - bits):
+        axes = tuple(axes["abc".index(k)] for k in HILBERT_RULE[0][0])
+    states, following, rank = [(0, axes)], [], []
+    for start, own in states:  # grows while it is read
+        name = dict(zip("abc", own))
+        to, at = [0] * 8, [0] * 8
+        for i, (turned, flipped) in enumerate(HILBERT_RULE):
+            gray = i ^ i >> 1
+            octant = start ^ sum(w for k, w in enumerate(own) if gray >> k & 1)
+            child = (start ^ sum(name[k] for k in flipped), tuple(name[k] for k in turned))
+            if child not in states:
+                states.append(child)
+            to[octant], at[octant] = states.index(child), i
+        following += to
+        rank += at
+    return following, rank
+
+
+def hilbert3(x: Column, y: Column, z: Column, bits: int = HILBERT_BITS) -> Column:
+    """Place on the Hilbert curve; coordinates of up to ``bits`` bits, not negative. One fold over the bits, from the highest."""
+    if not 0 < bits <= HILBERT_BITS:
+        raise ValueError("a Hilbert code holds at most 20 bits per axis")
+    following, rank = hilbert_tables(bits)
+
+    def step(acc: Column, level: Column) -> Column:
+        bit = lambda v, w: F.call_function("shiftright", v, level).bitwiseAND(F.lit(1)) * w
+        at = acc["state"] * 8 + bit(x, 4) + bit(y, 2) + bit(z, 1)
+        return F.struct(_table(following, at).alias("state"), (acc["code"] * 8 + _table(rank, at)).alias("code"))
+
+    start = F.struct(F.lit(0).cast("long").alias("state"), F.lit(0).cast("long").alias("code"))
+    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["code"])
+
+
+def split_params(sizes: list[Column], before: Column, smallest: Column) -> tuple[Column, Column]:
+    """Bounds of the partial splits: how many come first, and the size at which they start; 0 for cubes."""
+    low, high = F.least(*sizes), F.greatest(*sizes)
+    return F.least(before, high - low), F.when(low == high, F.lit(0).cast("long")).otherwise(F.least(smallest, low))
+
+
+def split_sizes(sizes: list[Column], before: Column, smallest: Column) -> list[Column]:
+    """Sizes (as powers of two) after one split: the longest axes only, or all; a single cell stays."""
+    low, high = F.least(*sizes), F.greatest(*sizes)
+    partial = (before > 0) | (low == smallest)
+    return [F.when(high == 0, v).when(partial & (v < high), v).otherwise(v - 1) for v in sizes]

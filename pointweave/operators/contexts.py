@@ -97,15 +97,24 @@ CHILD_SOURCES = {
 }
 
 
+#: Neighbours whose presence is known from the level above.
+AHEAD = {"ax": (1, 0, 0), "ay": (0, 1, 0), "az": (0, 0, 1)}
+
+
 def plane_context(nodes: DataFrame) -> DataFrame:
-    """One row per node and child: face and extern patterns from seven causal neighbours and the node's own earlier bits."""
-    around = siblings(nodes, PLANES)
+    """One row per node and child: face and extern patterns from seven causal neighbours and the node's own earlier bits.
+
+    ctx is the bin's context: child and the neighbours ahead where both patterns are empty, else the patterns.
+    """
+    around = siblings(nodes, PLANES | AHEAD)
+    ahead = sum((F.when(F.col(c) > 0, w).otherwise(0) for c, w in (("ay", 2), ("az", 4))), F.when(F.col("ax") > 0, 1).otherwise(0))
     bit = lambda s: F.shiftright("occupancy" if s[0] == "u" else s[0], s[1]).bitwiseAND(F.lit(1))
     rows = []
     for child, sources in CHILD_SOURCES.items():
         b = [bit(s) for s in sources]
         face, extern = b[0] + 2 * b[1] + 4 * b[2], 2 * (b[3] + 2 * b[4] + 4 * b[5]) + b[6]
-        rows.append(F.struct(F.lit(child).alias("child"), face.alias("face"), extern.alias("extern"), bit(("u", child)).alias("bit")))
+        ctx = F.when((face == 0) & (extern == 0), ahead + 8 * child).otherwise(64 + 8 * extern + face).cast("long")
+        rows.append(F.struct(F.lit(child).alias("child"), face.alias("face"), extern.alias("extern"), bit(("u", child)).alias("bit"), ctx.alias("ctx")))
     return around.withColumn("c", F.explode(F.array(*rows))).select("node", "c.*")
 
 

@@ -111,3 +111,35 @@ def lod_layers(points: DataFrame, shift: int = 3, layers: int = 4) -> DataFrame:
         return pd.DataFrame({"slice_id": pdf["slice_id"], "pos": pdf["pos"], "layer": layers_of(pdf[["x", "y", "z"]].to_numpy(), shift, layers)})
 
     return points.select("slice_id", "pos", "x", "y", "z").groupBy("slice_id").applyInPandas(run, "slice_id long, pos long, layer long")
+
+
+#: Fixed values of the adaptive bin model: per number of less probable bins seen (3 and more alike) the rate and the step towards the middle.
+ADAPT_RATES, ADAPT_STEPS = (3, 3, 4, 5), (197, 197, 95, 46)
+ADAPT_START, ADAPT_HALF = 1023, 1024
+
+
+def adapted(state: tuple[int, int, int, int], bit: int) -> tuple[int, int, int, int]:
+    """The next (level, cycle, more probable bin, count of less probable bins). The level falls as the probable bin is confirmed."""
+    level, cycle, probable, surprises = state
+    rate = ADAPT_RATES[cycle]
+    if bit == probable:
+        return level - (level >> rate) - (level >> rate + 2), max(cycle, 1), probable, surprises
+    level += ADAPT_STEPS[cycle]
+    if level >= ADAPT_HALF:
+        level, probable = 2 * ADAPT_HALF - 1 - level, 1 - probable
+    return level, min(cycle + 1, 3), probable, surprises + 1
+
+
+def adapt_contexts(bins: DataFrame) -> DataFrame:
+    """Every context's state after a slice's bins. bins: slice_id, ctx, pos, bit; models start anew with each slice, which bounds a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        states: dict[int, tuple[int, int, int, int]] = {}
+        pdf = pdf.sort_values("pos")
+        for ctx, bit in zip(pdf["ctx"].tolist(), pdf["bit"].tolist()):
+            states[ctx] = adapted(states.get(ctx, (ADAPT_START, 0, 0, 0)), bit)
+        rows = [(pdf["slice_id"].iloc[0], ctx, *s) for ctx, s in states.items()]
+        return pd.DataFrame(rows, columns=["slice_id", "ctx", "level", "cycle", "probable", "surprises"])
+
+    schema = "slice_id long, ctx long, level long, cycle long, probable long, surprises long"
+    return bins.select("slice_id", "ctx", "pos", "bit").groupBy("slice_id").applyInPandas(run, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointweave.functions.columns import morton3, norm_l1
+from pointweave.functions.columns import hilbert3, morton3, norm_l1
 
 BITS = 8
 SHIFT = 42
@@ -24,6 +24,12 @@ def ranked(points: DataFrame, name: str = "pos") -> DataFrame:
     return points.withColumn(name, F.row_number().over(W.partitionBy("slice_id").orderBy("code", "point_id")).cast("long") - 1)
 
 
+def hilbert_ranked(points: DataFrame, bits: int, name: str = "pos") -> DataFrame:
+    """Position in Hilbert order inside the slice; the code is kept as hilbert."""
+    coded = points.withColumn("hilbert", hilbert3(*map(F.col, "xyz"), bits))
+    return coded.withColumn(name, F.row_number().over(W.partitionBy("slice_id").orderBy("hilbert", "point_id")).cast("long") - 1)
+
+
 def shifted_rank(points: DataFrame, name: str = "pos2") -> DataFrame:
     """Position in the order of codes shifted by 42 on every axis."""
     code = morton3(F.col("x") + SHIFT, F.col("y") + SHIFT, F.col("z") + SHIFT, BITS)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.functions.columns import morton3
+from pointweave.functions.columns import hilbert_tables, morton3
 from pointweave.operators import groups
 from pointweave.sources.cloud import SQL_CLOUD, SQL_SIGNED, point_cloud, signed_cloud
 
@@ -20,6 +20,16 @@ def sql_morton(x: str, y: str, z: str, bits: int) -> str:
     return "(" + " + ".join(f"((({v} >> {i}) & 1) << {3 * i + p})" for i in range(bits) for v, p in ((x, 2), (y, 1), (z, 0))) + ")"
 
 
+def sql_hilbert(source: str, bits: int) -> str:
+    """The source's columns and hilbert, by one nested text per bit."""
+    following, rank = hilbert_tables(bits)
+    text = f"SELECT *, CAST(0 AS BIGINT) AS hs, CAST(0 AS BIGINT) AS hc FROM {source}"
+    for i in reversed(range(bits)):
+        at = f"hs * 8 + ((x >> {i}) & 1) * 4 + ((y >> {i}) & 1) * 2 + ((z >> {i}) & 1) + 1"
+        text = f"SELECT t.* EXCLUDE (hs, hc), CAST({following}[{at}] AS BIGINT) AS hs, CAST(hc * 8 + {rank}[{at}] AS BIGINT) AS hc FROM ({text}) t"
+    return f"SELECT * EXCLUDE (hs, hc), hc AS hilbert FROM ({text})"
+
+
 #: Common tables of the oracle texts; each text gets the chain it needs.
 SQL_STEPS = {
     "pc": SQL_CLOUD,
@@ -30,6 +40,7 @@ SQL_STEPS = {
     "shift": f"shift AS (SELECT min(m) AS m FROM range(64) t(m), span WHERE (hi >> m) - (lo >> m) < {SLICES})",
     "sliced": "sliced AS (SELECT coded.*, dense_rank() OVER (ORDER BY code >> m) - 1 AS slice_id FROM coded, shift)",
     "ordered": "ordered AS (SELECT *, row_number() OVER (PARTITION BY slice_id ORDER BY code, point_id) - 1 AS pos FROM sliced)",
+    "hordered": f"hordered AS (SELECT *, row_number() OVER (PARTITION BY slice_id ORDER BY hilbert, point_id) - 1 AS pos FROM ({sql_hilbert('sliced', BITS)}))",
     "lossy": """lossy AS (SELECT x, y, z, least(greatest(CAST(round(r / w) AS BIGINT), 0), 255) AS r, least(greatest(CAST(round(g / w) AS BIGINT), 0), 255) AS g,
  least(greatest(CAST(round(b / w) AS BIGINT), 0), 255) AS b, least(greatest(CAST(round(refl / w) AS BIGINT), 0), 32767) AS refl FROM (
  SELECT x, y, z, sum(w) AS w, sum(w * r) AS r, sum(w * g) AS g, sum(w * b) AS b, sum(w * refl) AS refl FROM (
@@ -37,7 +48,7 @@ SQL_STEPS = {
  CAST(round(1024 / (0.1 + (abs(x - round(x / 4.0) * 4.0) + abs(y - round(y / 4.0) * 4.0) + abs(z - round(z / 4.0) * 4.0)) / 4.0)) AS BIGINT) AS w FROM pc) GROUP BY x, y, z))""",
     "nodes": "nodes AS (" + " UNION ALL ".join(f"SELECT {v} AS level, code >> {3 * (v + 1)} AS node, CAST(bit_or(1 << CAST((code >> {3 * v}) & 7 AS INTEGER)) AS BIGINT) AS occupancy FROM coded GROUP BY ALL" for v in range(DEPTH)) + ")",
 }
-NEEDS = {"first": ["pc"], "coded": ["first"], "span": ["coded"], "shift": ["span"], "sliced": ["coded", "shift"], "ordered": ["sliced"], "lossy": ["pc"], "nodes": ["coded"]}
+NEEDS = {"first": ["pc"], "coded": ["first"], "span": ["coded"], "shift": ["span"], "sliced": ["coded", "shift"], "ordered": ["sliced"], "hordered": ["sliced"], "lossy": ["pc"], "nodes": ["coded"]}
 
 
 def with_steps(names: list[str], body: str) -> str:
@@ -79,4 +90,4 @@ def lossy(spark: SparkSession, d: str) -> DataFrame:
     return groups.fast_recolor(point_cloud(spark, d), STEP)
 
 
-__all__ = ["BITS", "DEPTH", "ORACLES", "QUERIES", "SLICES", "STEP", "first_points", "lossy", "point_cloud", "query", "signed_cloud", "sliced", "sql_morton", "with_steps"]
+__all__ = ["BITS", "DEPTH", "ORACLES", "QUERIES", "SLICES", "STEP", "first_points", "lossy", "point_cloud", "query", "signed_cloud", "sliced", "sql_hilbert", "sql_morton", "with_steps"]

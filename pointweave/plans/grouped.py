@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions import columns as C
-from pointweave.operators import contexts, groups
+from pointweave.operators import contexts, groups, kernels, splits
 from pointweave.plans.base import BITS, DEPTH, first_points, lossy, point_cloud, query, signed_cloud, sliced, sql_morton
 
 LEVEL = 1
@@ -219,7 +219,10 @@ def context_counts(spark, d):
     return parent.join(own, ["node", "child"]).groupBy((F.col("parent_ctx") * 8 + F.col("child_ctx")).alias("ctx")).agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
 
 
-@query("ctx_mode1_parent3", "nodes", _with_n("SELECT a.node, CAST(p.node IS NOT NULL AS BIGINT) + 2 * CAST(q.node IS NOT NULL AS BIGINT) + 4 * CAST(s.node IS NOT NULL AS BIGINT) AS ctx FROM n a LEFT JOIN n p ON p.x = a.x + 1 AND p.y = a.y AND p.z = a.z LEFT JOIN n q ON q.x = a.x AND q.y = a.y + 1 AND q.z = a.z LEFT JOIN n s ON s.x = a.x AND s.y = a.y AND s.z = a.z + 1"))
+_AHEAD_SQL = "SELECT a.node, CAST(p.node IS NOT NULL AS BIGINT) + 2 * CAST(q.node IS NOT NULL AS BIGINT) + 4 * CAST(s.node IS NOT NULL AS BIGINT) AS ctx FROM n a LEFT JOIN n p ON p.x = a.x + 1 AND p.y = a.y AND p.z = a.z LEFT JOIN n q ON q.x = a.x AND q.y = a.y + 1 AND q.z = a.z LEFT JOIN n s ON s.x = a.x AND s.y = a.y AND s.z = a.z + 1"
+
+
+@query("ctx_mode1_parent3", "nodes", _with_n(_AHEAD_SQL))
 def ctx_mode1_parent3(spark, d):
     around = contexts.siblings(level_nodes(spark, d), {"a": (1, 0, 0), "b": (0, 1, 0), "c": (0, 0, 1)})
     some = lambda c: F.when(F.col(c) > 0, 1).otherwise(0).cast("long")
@@ -250,6 +253,67 @@ def ctx_mode1_child(spark, d):
     return contexts.plane_context(level_nodes(spark, d)).select("node", "child", "face", "extern", "bit")
 
 
+_CTX1 = "CASE WHEN face = 0 AND extern = 0 THEN child * 8 + ctx ELSE 64 + 8 * extern + face END"
+
+
+@query("context_counts_mode1", "nodes", _with_n(f"SELECT CAST({_CTX1} AS BIGINT) AS context, CAST(count(*) AS BIGINT) AS n, CAST(sum(bit) AS BIGINT) AS ones FROM ({_CHILD_SQL}) JOIN ({_AHEAD_SQL}) USING (node) GROUP BY ALL"))
+def context_counts_mode1(spark, d):
+    """Occupancy bins of mode 1 per context."""
+    bins = contexts.plane_context(level_nodes(spark, d))
+    return bins.groupBy(F.col("ctx").alias("context")).agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
+
+
+#: The fold of a context's bins, its state packed as surprises, probable, cycle, level.
+_LEVEL, _CYCLE, _PROBABLE, _SURPRISES = "(s & 2047)", "((s >> 11) & 3)", "((s >> 13) & 1)", "(s >> 14)"
+_RATE, _UP = f"{list(kernels.ADAPT_RATES)}[{_CYCLE} + 1]", f"({_LEVEL} + {list(kernels.ADAPT_STEPS)}[{_CYCLE} + 1])"
+_ADAPT = f"""CASE WHEN b = {_PROBABLE} THEN {_LEVEL} - ({_LEVEL} >> {_RATE}) - ({_LEVEL} >> ({_RATE} + 2)) + (greatest({_CYCLE}, 1) << 11) + ({_PROBABLE} << 13) + ({_SURPRISES} << 14)
+ WHEN {_UP} >= 1024 THEN 2047 - {_UP} + (least({_CYCLE} + 1, 3) << 11) + ((1 - {_PROBABLE}) << 13) + (({_SURPRISES} + 1) << 14)
+ ELSE {_UP} + (least({_CYCLE} + 1, 3) << 11) + ({_PROBABLE} << 13) + (({_SURPRISES} + 1) << 14) END"""
+_ADAPTED = f"""SELECT slice_id, ctx, {_LEVEL} AS level, {_CYCLE} AS cycle, {_PROBABLE} AS probable, {_SURPRISES} AS surprises FROM (
+ SELECT slice_id, ctx, list_reduce(list_prepend(CAST({kernels.ADAPT_START} AS BIGINT), list(CAST(bit AS BIGINT) ORDER BY node, child)), lambda s, b: CAST({_ADAPT} AS BIGINT)) AS s FROM (
+ SELECT node >> 9 AS slice_id, parent_ctx * 8 + child_ctx AS ctx, node, child, bit FROM pctx JOIN cctx USING (node, child)) GROUP BY slice_id, ctx)"""
+
+
+@query("ctx_adapt", "nodes", _with_n(_ADAPTED, _PARENT + _SIBLING))
+def ctx_adapt(spark, d):
+    """Adaptive bin models of mode 0 after each slice of 512 node places."""
+    nodes = level_nodes(spark, d)
+    parent = contexts.parent_child_context(contexts.neighbour_mask(nodes)).select("node", "child", "parent_ctx")
+    own = contexts.causal_context(nodes).select("node", "child", "child_ctx", "bit")
+    bins = parent.join(own, ["node", "child"])
+    return kernels.adapt_contexts(bins.select(F.shiftright("node", 9).alias("slice_id"), (F.col("parent_ctx") * 8 + F.col("child_ctx")).cast("long").alias("ctx"), (F.col("node") * 8 + F.col("child")).alias("pos"), "bit"))
+
+
+#: A box that is no cube, its first partial levels and the side from which levels are partial again.
+BOX, BEFORE, SMALLEST = (9, 7, 6), 1, 3
+_LOW, _HIGH, _PART = "least(sx, sy, sz)", "greatest(sx, sy, sz)", "(k > 0 OR least(sx, sy, sz) = CASE WHEN sx = sy AND sy = sz THEN 0 ELSE m END)"
+_HALF = [f"s{c} - CAST(s{c} = {_HIGH} OR NOT {_PART} AS BIGINT)" for c in "xyz"]
+_SCHEDULE = f"""WITH RECURSIVE r(depth, sx, sy, sz, k, m) AS (SELECT CAST(0 AS BIGINT), CAST({BOX[0]} AS BIGINT), CAST({BOX[1]} AS BIGINT), CAST({BOX[2]} AS BIGINT), least({BEFORE}, {max(BOX) - min(BOX)}), least({SMALLEST}, {min(BOX)})
+ UNION ALL SELECT depth + 1, {', '.join(_HALF)}, greatest(k - 1, 0), CASE WHEN sx = sy AND sy = sz THEN 0 ELSE m END FROM r WHERE {_HIGH} > 0),
+c AS (SELECT *, {', '.join(f'{h} AS c{c}' for h, c in zip(_HALF, 'xyz'))} FROM r WHERE {_HIGH} > 0)
+SELECT depth, sx, sy, sz, CAST(4 * CAST(sx = cx AS BIGINT) + 2 * CAST(sy = cy AS BIGINT) + CAST(sz = cz AS BIGINT) AS BIGINT) AS unsplit FROM c"""
+
+
+@query("qtbt_schedule", "", _SCHEDULE)
+def qtbt_schedule(spark, d):
+    rows = [(v.depth, *v.size, v.unsplit) for v in splits.schedule(BOX, BEFORE, SMALLEST)]
+    return spark.createDataFrame(rows, "depth long, sx long, sy long, sz long, unsplit long")
+
+
+_LEVELS = list(splits.schedule(BOX, BEFORE, SMALLEST))
+_SPLIT_SQL = " UNION ALL ".join(
+    f"SELECT CAST({v.depth} AS BIGINT) AS depth, " + ", ".join(f"{c} >> {s} AS n{c}" for c, s in zip("xyz", v.size)) + ", CAST(bit_or(1 << CAST("
+    + " + ".join(f"(({c} >> {b}) & 1) * {w if a > b else 0}" for c, w, a, b in zip("xyz", (4, 2, 1), v.size, v.child)) + " AS INTEGER)) AS BIGINT) AS occupancy FROM first GROUP BY ALL"
+    for v in _LEVELS
+)
+
+
+@query("qtbt_octree", "first", _SPLIT_SQL)
+def qtbt_octree(spark, d):
+    """Nodes of every level of a box whose levels partly halve only the longest axes."""
+    return splits.split_octree(point_cloud(spark, d), _LEVELS)
+
+
 @query("occ_lookup", "nodes", _with_n("SELECT q.node, coalesce(n.occupancy, 0) AS occupancy FROM (SELECT DISTINCT code >> 5 AS node FROM coded) q LEFT JOIN n USING (node)"))
 def occ_lookup(spark, d):
     asked = first_points(spark, d).select(F.shiftright("code", 5).alias("node")).distinct()

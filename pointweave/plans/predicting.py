@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.operators import groups, kernels, predict
-from pointweave.plans.base import query, sliced, sql_morton
+from pointweave.plans.base import BITS, query, sliced, sql_morton
 from pointweave.streaming.frames import windowed_counts
 
 QP = 16
@@ -68,10 +68,14 @@ lags AS (SELECT *, lag(refl) OVER p AS r1, lag(refl, 2) OVER p AS r2, abs(x - la
 guess AS (SELECT o.slice_id, o.pos, o.refl, CAST(CASE o.pos WHEN 0 THEN 0 WHEN 1 THEN r1 WHEN 2 THEN round((u2 * r1 + u1 * r2) / (u1 + u2)) ELSE {_IDW} END AS BIGINT) AS pred_refl FROM lags o LEFT JOIN three USING (slice_id, pos))"""
 
 
-@query("pred_refl_hilbert", "ordered", f"SELECT * FROM (WITH {_REFL} SELECT slice_id, pos, pred_refl FROM guess)")
+@query("hilbert_rank", "hordered", "SELECT slice_id, point_id, hilbert, pos FROM hordered")
+def hilbert_rank(spark, d):
+    return predict.hilbert_ranked(sliced(spark, d), BITS).select("slice_id", "point_id", "hilbert", "pos")
+
+
+@query("pred_refl_hilbert", "hordered", f"SELECT * FROM (WITH {_REFL.replace('ordered', 'hordered')} SELECT slice_id, pos, pred_refl FROM guess)")
 def pred_refl_hilbert(spark, d):
-    """The predictor of the space-filling-curve order; the slices' order here is the Morton curve."""
-    return predict.predict_refl(ordered(spark, d)).select("slice_id", "pos", "pred_refl")
+    return predict.predict_refl(predict.hilbert_ranked(sliced(spark, d), BITS)).select("slice_id", "pos", "pred_refl")
 
 
 @query("residual_refl", "ordered", f"SELECT * FROM (WITH {_REFL} SELECT slice_id, pos, refl - pred_refl AS residual FROM guess)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import columns as C
 from pointweave.operators import groups
-from pointweave.plans.base import BITS, point_cloud, query, signed_cloud, sql_morton
+from pointweave.plans.base import BITS, point_cloud, query, signed_cloud, sql_hilbert, sql_morton
 from pointweave.sources.chunks import as_chunk
 
 ID = ("point_id",)
@@ -143,6 +143,29 @@ def morton3(spark, d):
     return point_cloud(spark, d).select(*ID, C.morton3(*map(F.col, "xyz"), BITS).alias("code"))
 
 
+@query("hilbert3", "pc", f"SELECT point_id, hilbert AS code FROM ({sql_hilbert('pc', BITS)})")
+def hilbert3(spark, d):
+    return point_cloud(spark, d).select(*ID, C.hilbert3(*map(F.col, "xyz"), BITS).alias("code"))
+
+
+_BOX = "x % 8 AS a, y % 8 AS b, z % 8 AS c, r % 4 AS k, g % 5 AS m"
+
+
+@query("qtbt_params", "pc", f"SELECT point_id, least(k, greatest(a, b, c) - least(a, b, c)) AS before, CASE WHEN a = b AND b = c THEN 0 ELSE least(m, least(a, b, c)) END AS smallest FROM (SELECT point_id, {_BOX} FROM pc)")
+def qtbt_params(spark, d):
+    before, smallest = C.split_params([F.col(v) % 8 for v in "xyz"], F.col("r") % 4, F.col("g") % 5)
+    return point_cloud(spark, d).select(*ID, before.alias("before"), smallest.alias("smallest"))
+
+
+_LONG = "CAST(greatest(a, b, c) > 0 AND ({0} = greatest(a, b, c) OR (k = 0 AND least(a, b, c) <> m)) AS BIGINT)"
+
+
+@query("qtbt_split", "pc", f"SELECT point_id, {', '.join(f'{v} - {_LONG.format(v)} AS {v}' for v in 'abc')} FROM (SELECT point_id, {_BOX} FROM pc)")
+def qtbt_split(spark, d):
+    sizes = C.split_sizes([F.col(v) % 8 for v in "xyz"], F.col("r") % 4, F.col("g") % 5)
+    return point_cloud(spark, d).select(*ID, *[v.alias(n) for v, n in zip(sizes, "abc")])
+
+
 @query("morton_add", "pc", f"SELECT point_id, {sql_morton('(x + r)', '(y + g)', '(z + b)', 9)} AS code FROM pc")
 def morton_add(spark, d):
     """Codes are added in coordinates; masked carries would overflow a signed long."""

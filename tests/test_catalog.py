@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 #: One or two of every family; the driver compares all.
 CHOSEN = (
     "attr_coerce", "digest", "rgb_to_yuv", "ceil_log2", "quant_residual", "psnr", "bbox_grid", "fast_recolor", "dup_report", "slice_by_morton", "octree_bfs",
-    "decode_octree", "octree_single_point", "context_counts", "ctx_mode1_child", "knn_ties", "geo_mse", "pred_color", "pred_refl_hilbert", "pred_refl_dual", "residual_stats",
+    "decode_octree", "octree_single_point", "context_counts", "ctx_mode1_child", "context_counts_mode1", "ctx_adapt", "hilbert_rank", "qtbt_schedule", "qtbt_octree", "knn_ties", "geo_mse", "pred_color", "pred_refl_hilbert", "pred_refl_dual", "residual_stats",
 )
 
 
