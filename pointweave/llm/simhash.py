@@ -20,6 +20,7 @@ no part as a component's name unless no other row has one.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -216,34 +217,42 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, root (the smallest fingerprint of the component) and component_id of every row."""
-    rows = materialise(with_fingerprints(docs, words), "fingerprints")
+def named(rows: DataFrame, edges: DataFrame | None = None, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, root (the smallest fp of the component) and component_id of rows (doc_id, fp), written."""
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = materialise(components(links(distinct.select("fp"), radius)), "roots")
+    roots = materialise(components(links(distinct.select("fp"), radius) if edges is None else edges), "roots")
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     smallest = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
-    named = materialise(rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    names = materialise(rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "named")
+    return rows.join(names, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs without near copies: of every component the row with the smallest doc_id stays.
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, root (the smallest fingerprint of the component) and component_id of every row."""
+    return named(materialise(with_fingerprints(docs, words), "fingerprints"), radius=radius)
+
+
+def smallest_rows(docs: DataFrame, found: DataFrame, hashed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of every component of found the row of docs with the smallest doc_id; hashed adds the column __fp to docs.
 
     Rows that share a doc_id are told apart by fingerprint; repeats of such a row leave one.
     """
-    found = near_duplicates(docs, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     best = materialise(found.groupBy("doc_id", "root").agg(F.min("fp").alias("kept_fp"), F.count("*").alias("n")), "best")
     ids = best.groupBy(F.col("doc_id").alias("kept_id")).agg(F.sum("n").alias("n"))
     if ids.where("n > 1").isEmpty():
         return docs.join(best.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    hashed = with_fingerprints(docs, words, "__fp", keep=True)
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__fp") == F.col("kept_fp"))
-    one = hashed.join(best.select(F.col("doc_id").alias("kept_id"), "kept_fp"), same, "left_semi")
+    one = hashed(docs).join(best.select(F.col("doc_id").alias("kept_id"), "kept_fp"), same, "left_semi")
     return one.dropDuplicates(["doc_id", "__fp"]).drop("__fp")
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs without near copies: of every component the row with the smallest doc_id stays."""
+    return smallest_rows(docs, near_duplicates(docs, words, radius), lambda d: with_fingerprints(d, words, "__fp", keep=True))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
