@@ -6,9 +6,9 @@ rare expression is judged alike unless its class says otherwise. A text's eviden
 of the models' log-likelihoods per word: over the whole text, over its most toxic stretch of WINDOW
 words, and over its most toxic words; a logistic curve fitted on other labelled texts makes it a score.
 
-Counts live in tables of a fixed number of hashed slots: words' bigrams are summed over the cluster, slot
-tables of at most SLOTS rows reach the driver, and the model that tasks get is a fixed 20 MB, whatever
-the input. Labels are broadcast up to BROADCAST_LABELS rows, beyond that joined by a shuffle.
+Counts are kept by key, in sorted tables without shared slots: words' bigrams are summed over the cluster, and the driver gathers,
+and tasks get, one row for each distinct word and context and for each bigram that the discount leaves something of.
+So the model grows with the input. Labels are broadcast up to BROADCAST_LABELS rows, beyond that joined by a shuffle.
 
 Training rows are those with crc32(doc_id) mod 3 = 0 for the counts and = 2 for the curve; = 1 is held out.
 The curve is fitted on at most CURVE_ROWS rows, those with the smallest hashes of doc_id.
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import field, materialise, slices, table, text_or_empty
 
-BIGRAM_BITS, WORD_BITS = 20, 19
-SLOTS = 1 << BIGRAM_BITS
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 DISCOUNT = 3.0
 LEAN = 20.0
@@ -111,24 +109,41 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
     return summed.select("code", *count)
 
 
+class Table:
+    """Counts of both classes by key; a key that isn't there has those of the last column."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, absent: float | np.ndarray = 0.0):
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.uint64(2**64 - 1))
+        self.values = np.column_stack([values[:, order], np.broadcast_to(absent, len(values))]).astype(np.float32)
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        found = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[found] == keys, found, len(self.keys) - 1)
+
+
 class Model:
-    """Slot tables of both classes; log-likelihood differences of word sequences."""
+    """Tables of both classes; log-likelihood differences of word sequences."""
 
-    def __init__(self, bigrams: np.ndarray, contexts: np.ndarray, freed: np.ndarray, continued: np.ndarray, shared: np.ndarray):
-        self.bigrams, self.contexts, self.freed = (x.astype(np.float32) for x in (bigrams, contexts, freed))
+    def __init__(self, bigrams: Table, contexts: Table, words: np.ndarray, continued: np.ndarray, shared: np.ndarray):
+        """bigrams: what the discount left; contexts: counts of both classes, then what it freed; words: keys of the other two."""
+        self.bigrams, self.contexts = bigrams, contexts
+        # The last column is that of every word that isn't there.
+        shared, continued = np.append(shared, 0.0), np.column_stack([continued, np.zeros(2)])
         base = (shared + 1.0) / (shared.sum() + shared.size)
         rest = np.minimum(continued, DISCOUNT).sum(axis=1)
-        words = [(np.maximum(continued[c] - DISCOUNT, 0) + (rest[c] + 1) * base) / (continued[c].sum() + 1) for c in (0, 1)]
-        self.words = np.stack(words).astype(np.float32)
+        lower = np.stack([(np.maximum(continued[c] - DISCOUNT, 0) + (rest[c] + 1) * base) / (continued[c].sum() + 1) for c in (0, 1)])
+        self.words = Table(words, lower[:, :-1], lower[:, -1])
 
     def differences(self, words: np.ndarray) -> np.ndarray:
         before, own = pair_codes(words)
-        pair, context, word = slot(before << np.uint64(32) | own, BIGRAM_BITS), slot(before, WORD_BITS), slot(own, WORD_BITS)
+        left = self.bigrams.values[:, self.bigrams.at(before << np.uint64(32) | own)]
+        contexts, words = self.contexts.values[:, self.contexts.at(before)], self.words.values[:, self.words.at(own)]
         logs = []
         for c in (0, 1):
-            n, lower = self.contexts[c][context], self.words[c][word]
+            n, freed = contexts[c], contexts[2 + c]
             # LEAN more counts are given to the lower order, so that rare contexts lean on it.
-            logs.append(np.log((self.bigrams[c][pair] + (self.freed[c][context] + LEAN) * lower) / (n + LEAN)))
+            logs.append(np.log((left[c] + (freed + LEAN) * words[c]) / (n + LEAN)))
         return logs[1] - logs[0]
 
     def evidence(self, words: np.ndarray) -> tuple[float, ...]:
@@ -144,35 +159,24 @@ class Model:
 
 
 def train(pairs: DataFrame) -> Model:
-    """pairs: bigram_counts(), written. Only slot tables of a fixed size reach the driver."""
+    """pairs: bigram_counts(), written. What reaches the driver grows with the distinct words and the frequent bigrams."""
+    context, word = F.shiftrightunsigned("code", 32), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))
 
-    def slots(batches):
-        for batch in batches:
-            codes = field(batch, "code").to_numpy().view(np.uint64)
-            made = [slot(codes, BIGRAM_BITS), slot(codes >> np.uint64(32), WORD_BITS), slot(codes & np.uint64(0xFFFFFFFF), WORD_BITS)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, made), field(batch, "n0"), field(batch, "n1")], names=["pair", "context", "word", "n0", "n1"])
-
-    keyed = pairs.mapInArrow(slots, "pair long, context long, word long, n0 long, n1 long")
-    some0, some1 = ((F.col(c) > 0).cast("long") for c in ("n0", "n1"))
-
-    def gathered(key: str, bits: int, *columns: Column) -> list[np.ndarray]:
-        sums = [F.sum(c).alias(f"c{i}") for i, c in enumerate(columns)]
-        some = columns[0] > 0
-        for c in columns[1:]:
-            some = some | (c > 0)
-        t = keyed.where(some).groupBy(key).agg(*sums).toArrow()
-        out = [np.zeros(1 << bits) for _ in columns]
-        for i, column in enumerate(out):
-            column[t[key].to_numpy()] = t[f"c{i}"].to_numpy()
-        return out
+    def gathered(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+        t = rows.toArrow()
+        return t["key"].to_numpy().view(np.uint64), np.stack([t[f"c{i}"].to_numpy() for i in range(n)]).astype(float)
+
+    def summed(key: Column, *columns: Column) -> tuple[np.ndarray, np.ndarray]:
+        sums = [F.sum(c).cast("float").alias(f"c{i}") for i, c in enumerate(columns)]
+        return gathered(pairs.groupBy(key.alias("key")).agg(*sums), len(columns))
 
-    # Only what is left of a count by the discount matters, and few bigrams have anything left to collide with.
-    left0, left1 = (F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0)) for c in ("n0", "n1"))
-    bigrams = np.stack(gathered("pair", BIGRAM_BITS, left0, left1))
-    less0, less1 = (F.least(F.col(c).cast("double"), F.lit(DISCOUNT)) for c in ("n0", "n1"))
-    n0, n1, t0, t1 = gathered("context", WORD_BITS, F.col("n0"), F.col("n1"), less0, less1)
-    c0, c1, shared = gathered("word", WORD_BITS, some0, some1, F.lit(1).cast("long"))
-    return Model(bigrams, np.stack([n0, n1]), np.stack([t0, t1]), np.stack([c0, c1]), shared)
+    # Only what is left of a count by the discount matters.
+    left = [F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0)).cast("float") for c in ("n0", "n1")]
+    kept = pairs.select(F.col("code").alias("key"), *[c.alias(f"c{i}") for i, c in enumerate(left)]).where("c0 > 0 or c1 > 0")
+    less = [F.least(F.col(c).cast("double"), F.lit(DISCOUNT)) for c in ("n0", "n1")]
+    some = [(F.col(c) > 0).cast("long") for c in ("n0", "n1")]
+    words, continued = summed(word, *some, F.lit(1).cast("long"))
+    return Model(Table(*gathered(kept, 2)), Table(*summed(context, F.col("n0"), F.col("n1"), *less)), words, continued[:2], continued[2])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -230,7 +234,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> tuple[Model, Column]:
         curve = curve.join(F.broadcast(smallest.distinct()), "doc_id", "left_semi")
     t = with_evidence(curve, model, "toxic").toArrow()
     y = t["toxic"].to_numpy().astype(float)
-    if len(set(y)) < 2 or not model.contexts.sum(axis=1).all():
+    if len(set(y)) < 2 or not model.contexts.values[:2].sum(axis=1).all():
         return model, F.lit(min(0.5, (y.sum() + 0.5) / (len(y) + 1.0)))
     w = fit_curve(np.column_stack([t[f"e{i}"].to_numpy() for i in range(EVIDENCE)]), y)
     z = sum((F.col(f"e{i}") * float(w[i]) for i in range(EVIDENCE)), F.lit(float(w[EVIDENCE])))

@@ -68,3 +68,44 @@ def test_similar_links_in_blocks(spark, block):
     rows = materialise(similar.with_sets(docs(spark, given)), "sets")
     found = simhash.named(rows.select("doc_id", "fp"), similar.links(rows, block))
     assert sorted({r["component_id"] for r in found.collect()}) == survivors(given)
+
+
+def toxic_table(spark, n=600, repeat=1):
+    rng = random.Random(4)
+    rows = []
+    for i in range(n):
+        words = [f"w{rng.randint(0, 900)}" for _ in range(30)]
+        if i % 3 == 0:
+            for _ in range(4):
+                words[rng.randrange(30)] = rng.choice(["scum", "moron", "trash"])
+        rows.append(" ".join(words))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int")
+    return docs(spark, rows), labels
+
+
+def test_toxicity_counts_are_kept_by_key(spark):
+    import numpy as np
+
+    from pointweave.llm import toxicity
+
+    # As many words as slots of the former tables, and all of their counts.
+    n = 1 << 19
+    codes = np.arange(n, dtype=np.uint64) * np.uint64(4) + np.uint64(2)
+    pairs = spark.range(n).selectExpr("shiftleft(id * 4 + 2, 32) | (id * 4 + 6) AS code", "id % 7 AS n0", "id % 5 AS n1")
+    model = toxicity.train(pairs)
+    i = np.arange(n)
+    at = model.contexts.at(codes)
+    assert (model.contexts.keys[at] == codes).all()
+    assert (model.contexts.values[0, at] == i % 7).all() and (model.contexts.values[1, at] == i % 5).all()
+    left = model.bigrams.values[:, model.bigrams.at(codes << np.uint64(32) | codes + np.uint64(4))]
+    assert (left == np.stack([np.maximum(i % 7 - 3, 0), np.maximum(i % 5 - 3, 0)])).all()
+    absent = model.bigrams.at(codes << np.uint64(32) | codes)
+    assert (model.bigrams.values[:, absent] == 0).all()
+
+
+def test_toxicity_held_out(spark):
+    from pointweave.llm import toxicity
+
+    d, labels = toxic_table(spark)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(d, labels).where("held_out").collect()}
+    assert sum(p == (i % 3 == 0) for i, p in got.items()) > 0.95 * len(got)
