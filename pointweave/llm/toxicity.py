@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import field, materialise, slices, table, text_or_empty
 
-MIXER = np.uint64(0x9E3779B97F4A7C15)
 DISCOUNT = 3.0
 LEAN = 20.0
 WINDOW, PEAKS = 16, 4
@@ -70,43 +69,37 @@ def pair_codes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[np.uint64(START)], words[:-1]]).astype(np.uint64), words
 
 
-def slot(codes: np.ndarray, bits: int) -> np.ndarray:
-    return ((codes * MIXER) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def bigram_counts(docs: DataFrame) -> DataFrame:
     """code (predecessor << 32 | word, as a signed long) and its counts n0 and n1 under either label.
 
-    A bigram counts as often as distinct words stood before it, so that copies of one text count once. That is told by
-    a sketch of 64 bits, one for each hash of the word before; a sketch over half full gives way to the number of texts.
+    A bigram counts as often as distinct words stood before it, so that copies of one text count once, at every size. Its
+    distinct (word before, bigram) are grouped first, then counted; both steps sum up before they shuffle.
     """
 
     def run(batches):
         memo = _Words()
         for batch in batches:
             for part in slices(batch, 2048):
-                codes, marks, toxic = [], [], []
+                codes, firsts, toxic = [], [], []
                 for text, label in zip(field(part, "text").to_pylist(), field(part, "toxic").to_pylist()):
                     words = word_codes(text, memo)
                     if len(words):
                         before, own = pair_codes(words)
-                        found, at = np.unique(before << np.uint64(32) | own, return_index=True)
-                        codes.append(found)
-                        marks.append(np.uint64(1) << slot(pair_codes(before)[0][at], 6).astype(np.uint64))
-                        toxic.append(np.full(len(found), label == 1))
+                        codes.append(before << np.uint64(32) | own)
+                        firsts.append(pair_codes(before)[0])
+                        toxic.append(np.full(len(own), 2 if label == 1 else 1, np.int8))
                 if codes:
-                    code, mark, label = np.concatenate(codes), np.concatenate(marks), np.concatenate(toxic)
-                    order = np.argsort(code, kind="stable")
-                    code, mark, label = code[order], mark[order], label[order]
-                    starts = np.nonzero(np.concatenate([[True], code[1:] != code[:-1]]))[0]
-                    masks = [np.bitwise_or.reduceat(np.where(label == c, mark, np.uint64(0)), starts).view(np.int64) for c in (False, True)]
-                    texts = [np.add.reduceat((label == c).astype(np.int64), starts) for c in (False, True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code[starts].view(np.int64), *masks, *texts)], names=["code", "m0", "m1", "t0", "t1"])
-
-    rows = docs.select("text", "toxic").mapInArrow(run, "code long, m0 long, m1 long, t0 long, t1 long")
-    summed = rows.groupBy("code").agg(F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1"), F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))
-    count = [F.when(F.bit_count(f"m{c}") <= 32, F.bit_count(f"m{c}").cast("long")).otherwise(F.col(f"t{c}")).alias(f"n{c}") for c in (0, 1)]
-    return summed.select("code", *count)
+                    code, first, label = np.concatenate(codes), np.concatenate(firsts), np.concatenate(toxic)
+                    order = np.lexsort((first, code))
+                    code, first, label = code[order], first[order], label[order]
+                    starts = np.nonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (first[1:] != first[:-1])]))[0]
+                    labels = np.bitwise_or.reduceat(label, starts)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code[starts].view(np.int64), first[starts].view(np.int64), labels)], names=["code", "first", "labels"])
+
+    rows = docs.select("text", "toxic").mapInArrow(run, "code long, first long, labels byte")
+    distinct = rows.groupBy("code", "first").agg(F.bit_or("labels").alias("labels"))
+    counts = [F.sum((F.col("labels").bitwiseAND(F.lit(b).cast("byte")) > 0).cast("long")).alias(f"n{c}") for c, b in ((0, 1), (1, 2))]
+    return distinct.groupBy("code").agg(*counts)
 
 
 class Table:

@@ -109,3 +109,18 @@ def test_toxicity_held_out(spark):
     d, labels = toxic_table(spark)
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(d, labels).where("held_out").collect()}
     assert sum(p == (i % 3 == 0) for i, p in got.items()) > 0.95 * len(got)
+
+
+def test_toxicity_counts_distinct_predecessors(spark):
+    from pointweave.llm import toxicity
+
+    # 50 words before "a b", each twice and once more in copies; 40 copies of one text.
+    given = [f"p{i % 50} a b" for i in range(100)] + ["p0 a b"] * 300 + ["q a c"] * 40
+    rows = spark.createDataFrame([(t, i % 2) for i, t in enumerate(given)], "text string, toxic long")
+    memo = toxicity._Words()
+    a, b, c = (memo[w] for w in "abc")
+    found = {r["code"] & (2**64 - 1): (r["n0"], r["n1"]) for r in toxicity.bigram_counts(rows.repartition(5)).collect()}
+    # p0, p2, ... are ordinary, p1, p3, ... toxic; the copies of p0 are both.
+    assert found[a << 32 | b] == (25, 26) and found[a << 32 | c] == (1, 1)
+    more = spark.createDataFrame([(f"p{i} a b", 0) for _ in range(3) for i in range(500)], "text string, toxic long")
+    assert {r["code"] & (2**64 - 1): r["n0"] for r in toxicity.bigram_counts(more).collect()}[a << 32 | b] == 500
