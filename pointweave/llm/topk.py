@@ -1,24 +1,30 @@
 """Operator 5, exact top-k search by inner product: three-phase uniform threshold.
 
-The coordinates are cut into LISTS ranges; the inner product over one range is a vector's score in that list
-and the whole score is the sum over the lists. Phase 1 gathers each list's best k partial scores and its least one
-for every query; sums of what was seen, with the least score for what was not, bound the k-th best whole
-score from below by tau. Phase 2 sends each query its cutoffs: with m lists a whole score of tau or more
-has some list whose score is at least (tau - sum of least scores) / m over that list's least one, so only
-entries over a cutoff are collected. Phase 3 resolves the whole scores of those exactly and keeps the best k.
-
-Queries come in blocks of at most BLOCK, rows in groups of about GROUP; a task holds one block against
-one group and emits at most k rows per query (and list). A vector is copied once per block of queries,
-which is the stated query set in blocks; nothing is broadcast and no pair of rows is emitted.
-
-Defined results: components become floor(256 x) in doubles; vectors that are null, empty, or hold null or
-non-finite components, and rows without vec_id, take no part; vectors of different lengths aren't
-compared; rows with a query's vec_id are its own; equal scores go to the smaller vec_id; repeated rows stand once each
-(a repeated query is asked once); scores beyond a long are held at its ends; an empty table gives no rows.
+The coordinates are cut into LISTS ranges; the inner product over one range is a row's score in that list and its whole
+score is the sum over the lists. A task holds one block of queries against one group of rows.
+
+Phase 1 scores the lists of every task once. Each list's k best entries are resolved, and the k best whole scores
+among them leave the task for its local list. The k-th of those bounds the query's k-th best whole score from below,
+and a whole score of t or more needs an entry of t / LISTS or more in some list; so the task keeps, beside the local
+list, only the entries that reach its own bound. Phase 2 gathers the local lists into one safe cutoff for each query
+and collects the kept entries that reach it. Phase 3 resolves the whole scores of the collected entries, and of
+nothing else, from the vectors of their group and keeps the best k.
+
+Queries come in blocks of at most BLOCK, rows in groups of about GROUP, both dealt out by the row's own number, so that
+many rows of one vec_id, or of one vector, spread over all tasks. A row is copied once for each block of queries, which is
+the stated query set in blocks; no pair of rows is emitted: what leaves a task is one line for each query.
+
+Defined results: components become floor(256 x) in doubles; vectors that are null, empty, or hold null or non-finite
+components (also once scaled), and rows without vec_id, take no part; vectors of different lengths aren't compared; all rows with a query's
+vec_id are its own; equal scores go to the smaller vec_id; repeated rows stand once each (a repeated query is asked once,
+with the smallest of its vectors); scores beyond a long are held at its ends; sums are exact at every magnitude; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,162 +35,165 @@ from .common import materialise, table
 
 K = 5
 EVERY = 50
-LISTS = 4
-BLOCK, GROUP, SUB = 512, 16_384, 64
+LISTS = 2
+BLOCK, GROUP, SUB, TILE = 2048, 8192, 64, 128
 SCALE = 256.0
+LEAST, MOST = -(2**63), 2**63 - 1
 
-
-def _matrix(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of the vectors, and all scaled components in a row."""
-    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
-    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.diff(values.offsets.to_numpy()), np.floor(flat * SCALE)
+KEPT = "query_id long, b int, g int, v array<double>, heads array<long>, kept array<struct<rid:long,part:double>>"
+FOUND = "query_id long, vec_id long, score long"
 
 
-def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each vector length: ids in order, vectors, and their places in the table."""
-    if not t.num_rows:
-        return {}
-    sizes, flat = _matrix(t["v"])
-    ids = t["vec_id"].to_numpy()
-    starts = np.concatenate([[0], np.cumsum(sizes)])
+def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each vector length: places in the table and scaled components."""
+    values = t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"]
+    flat = np.floor(values.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE)
+    starts = np.cumsum([0, *(sizes := np.diff(values.offsets.to_numpy()))])
     out = {}
     for size in np.unique(sizes):
         at = np.nonzero(sizes == size)[0]
-        at = at[np.argsort(ids[at], kind="stable")]
-        out[int(size)] = ids[at], flat[(starts[at][:, None] + np.arange(size))], at
+        out[int(size)] = at, flat[starts[at][:, None] + np.arange(size)]
     return out
 
 
-def _exact_in_doubles(a: np.ndarray, b: np.ndarray, rows: int) -> bool:
-    """Whether products, and products as sort keys with a row number, are exact doubles."""
+def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in the narrowest type that holds every sum of products exactly: single, double or unbounded integers."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return (most + 1) * 2 * rows < 2.0**53
+    if most < 2.0**24:
+        return a.astype(np.float32), b.astype(np.float32)
+    if most < 2.0**53:
+        return a, b
+    whole = np.vectorize(int, otypes=[object])
+    return whole(a), whole(b)
+
 
+def _parts(q: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    cuts = np.linspace(0, q.shape[1], LISTS + 1).astype(int)
+    return [q[:, a:b] @ v[:, a:b].T if b > a else np.zeros((len(q), len(v)), q.dtype) for a, b in zip(cuts, cuts[1:])]
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each row, ties to the left; scores of -inf may be among them."""
-    n = scores.shape[1]
-    keys = scores * n - np.arange(n)
-    if k < n:
-        top = np.argpartition(-keys, k - 1, axis=1)[:, :k]
+
+def _floor_of_best(part: np.ndarray, k: int) -> np.ndarray:
+    """For each row a bound that its k best values, and not many others, reach: the k-th best of the maxima of tiles."""
+    rows, n = part.shape
+    if n < 2 * k * TILE:
+        tiles = part
     else:
-        top = np.broadcast_to(np.arange(n), scores.shape)
-    order = np.argsort(-np.take_along_axis(keys, top, axis=1), axis=1, kind="stable")
-    return np.take_along_axis(top, order, axis=1)
-
-
-def _ranges(size: int) -> list[slice]:
-    cuts = np.linspace(0, size, LISTS + 1).astype(int)
-    return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
-
-
-def _phase1(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("list", pa.int32()), ("vec_id", pa.int64()), ("part", pa.float64())])
-
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], [], []]
-
-        def emit(*columns: np.ndarray) -> None:
-            for c, x in zip(out, columns):
-                c.append(x)
-
-        have = _by_length(rows)
-        for size, (qids, q, _) in _by_length(queries).items():
-            if size not in have or not _exact_in_doubles(q, have[size][1], len(have[size][0])):
-                continue  # such scores are resolved in phase 3 without a cutoff
-            ids, v, _ = have[size]
-            for at in range(0, len(qids), SUB):
-                own = qids[at : at + SUB]
-                mine = own[:, None] == ids[None, :]
-                for i, r in enumerate(_ranges(size)):
-                    part = q[at : at + SUB, r] @ v[:, r].T
-                    least = np.where(mine, np.inf, part).min(axis=1)
-                    part[mine] = -np.inf
-                    top = _best(part, k)
-                    got = np.take_along_axis(part, top, axis=1)
-                    seen = np.isfinite(got)
-                    emit(np.broadcast_to(own[:, None], top.shape)[seen], np.full(seen.sum(), i), ids[top][seen], got[seen])
-                    some = np.isfinite(least)
-                    emit(own[some], np.full(some.sum(), -1 - i), np.zeros(some.sum()), least[some])
-        return pa.table([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) if c else pa.array([], f.type) for c, f in zip(out, schema)], schema=schema)
+        whole = n - n % TILE
+        tiles = part[:, :whole].reshape(rows, -1, TILE).max(axis=2)
+    return np.sort(tiles, axis=1)[:, -k if tiles.shape[1] >= k else 0]
 
-    return run
+
+def _long(score) -> int:
+    return max(LEAST, min(MOST, int(score)))
 
 
-def _phase3(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _lists(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Phase 1: for every query of the block its local list (heads) and the entries that reach the local bound (kept)."""
 
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        have = _by_length(rows)
-        for size, (qids, q, places) in _by_length(queries).items():
+    def run(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[dict] = []
+        have, row_ids, vec_ids = _by_length(rows), rows["rid"].to_numpy(), rows["vec_id"].to_numpy()
+        query_ids = queries["vec_id"].to_numpy()
+        for size, (asked, q_all) in _by_length(queries).items():
             if size not in have:
                 continue
-            ids, v, _ = have[size]
-            cuts = queries["cuts"].to_pylist()
-            if not _exact_in_doubles(q, v, len(ids)):
-                whole = [[int(x) for x in row] for row in v]
-                for one, vector in zip(qids, q):
-                    own = [int(x) for x in vector]
-                    ranked = sorted((-sum(a * b for a, b in zip(own, w)), int(i)) for i, w in zip(ids, whole) if i != one)[:k]
-                    scores = [max(-(2**63), min(2**63 - 1, -s)) for s, _ in ranked]
-                    found.append((np.full(len(ranked), one), np.array([i for _, i in ranked], np.int64), np.array(scores, np.int64)))
-                continue
-            for at in range(0, len(qids), SUB):
-                own, block = qids[at : at + SUB], q[at : at + SUB]
-                bounds = np.array([cuts[p] or [-np.inf] * LISTS for p in places[at : at + SUB]])
-                total, over = np.zeros((len(own), len(ids))), np.zeros((len(own), len(ids)), bool)
-                for i, r in enumerate(_ranges(size)):
-                    part = block[:, r] @ v[:, r].T
-                    over |= part >= bounds[:, i : i + 1]
-                    total += part
-                total[~over | (own[:, None] == ids[None, :])] = -np.inf
-                top = _best(total, k)
-                got = np.take_along_axis(total, top, axis=1)
-                seen = np.isfinite(got)
-                found.append((np.broadcast_to(own[:, None], top.shape)[seen], ids[top][seen], got[seen].astype(np.int64)))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
-        return pa.table([pa.array(c.astype(np.int64)) for c in columns], schema=schema)
+            at, v_all = have[size]
+            ids, numbers = vec_ids[at], row_ids[at]
+            q, v = _exact(q_all, v_all)
+            for first in range(0, len(asked), SUB):
+                own = query_ids[asked[first : first + SUB]]
+                parts = _parts(q[first : first + SUB], v)
+                other = own[:, None] != ids[None, :] if np.isin(own, ids).any() else None
+                seen = np.zeros(parts[0].shape, bool)
+                for part in parts:
+                    seen |= part >= _floor_of_best(np.where(other, part, part.min() - 1) if other is not None else part, k)[:, None]
+                if other is not None:
+                    seen &= other
+                bounds = []
+                for i in range(len(own)):
+                    places = np.nonzero(seen[i])[0]
+                    best = np.sort(sum(part[i, places] for part in parts))[::-1][:k]
+                    # Scores held at an end of a long are equal: there the bound is that end, or there is none.
+                    bounds.append((best, min(best[k - 1], MOST) if len(best) == k and best[k - 1] > LEAST else None))
+                for i, (best, bound) in enumerate(bounds):
+                    # Without k entries there is no bound, and every row of the group is kept.
+                    tops = parts[0][i] if LISTS == 1 else np.maximum.reduce([part[i] for part in parts])
+                    keep = (tops * LISTS >= bound) if bound is not None else np.ones(len(ids), bool)
+                    if other is not None:
+                        keep = keep & other[i]
+                    places = np.nonzero(keep)[0]
+                    out.append(
+                        {
+                            "query_id": int(own[i]), "b": key[0], "g": key[1], "v": (q_all[first + i] / SCALE).tolist(), "heads": [_long(x) for x in best],
+                            "rids": numbers[places], "tops": np.nextafter(tops[places].astype(np.float64), np.inf),
+                        }
+                    )
+        sizes = np.cumsum([0, *(len(o["rids"]) for o in out)])
+        flat = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in ("rids", "tops")]
+        entries = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.float64))], names=["rid", "part"])
+        kinds = {"query_id": pa.int64(), "b": pa.int32(), "g": pa.int32(), "v": pa.list_(pa.float64()), "heads": pa.list_(pa.int64())}
+        columns = {c: pa.array([o[c] for o in out], kind) for c, kind in kinds.items()}
+        return pa.table(columns | {"kept": pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), entries)})
+
+    return lambda key, queries, rows: run(tuple(k.as_py() for k in key), queries, rows)
+
+
+def _resolve(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Phase 3: whole scores of the collected entries alone, and the k best of each query."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[list[int]] = [[], [], []]
+        numbers, vec_ids = rows["rid"].to_numpy(), rows["vec_id"].to_numpy()
+        order = np.argsort(numbers)
+        have = {size: (dict(zip(at.tolist(), range(len(at)))), v) for size, (at, v) in _by_length(rows).items()}
+        for query, vector, rids in zip(asked["query_id"].to_pylist(), asked["v"].to_pylist(), asked["rids"].combine_chunks()):
+            places = order[np.searchsorted(numbers, rids.values.to_numpy(), sorter=order)]
+            index, v = have[len(vector)]
+            q, near = _exact(np.array([vector]) * SCALE, v[[index[p] for p in places.tolist()]])
+            scores = (near @ q[0]).tolist()
+            for score, vec_id in sorted((-_long(s), i) for s, i in zip(scores, vec_ids[places].tolist()))[:k]:
+                for column, x in zip(out, (query, vec_id, -score)):
+                    column.append(x)
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _dealt(rows: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+    spread = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    return rows.withColumn(own, F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int")).withColumn(other, spread)
+
+
+def collected(vectors: DataFrame, queries: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """Phases 1 and 2. What is left: (query_id, b, g, v, rids), and the numbered rows dealt to (b, g)."""
+    numbered = materialise(vectors.select("vec_id", F.transform("v", lambda x: x.cast("double")).alias("v"), F.monotonically_increasing_id().alias("rid")), "vectors")
+    one = queries.groupBy("vec_id").agg(F.min(F.transform("v", lambda x: x.cast("double"))).alias("v"))
+    asked = materialise(one.withColumn("rid", F.col("vec_id")), "asked")
+    groups, blocks = max(1, -(-numbered.count() // GROUP)), max(1, -(-asked.count() // BLOCK))
+    dealt = _dealt(numbered, "g", groups, "b", blocks)
+    met = _dealt(asked, "b", blocks, "g", groups).groupBy("b", "g").cogroup(dealt.groupBy("b", "g"))
+    lists = materialise(met.applyInArrow(_lists(k), KEPT), "lists")
+    head = W.partitionBy("query_id").orderBy(F.desc("head"))
+    heads = lists.select("query_id", F.explode("heads").alias("head")).withColumn("r", F.row_number().over(head)).where(F.col("r") == k)
+    # A cutoff at the low end of a long may stand for less, so it cuts nothing; doubles of large longs may be rounded up.
+    tau = heads.select("query_id", F.when(F.col("head") > LEAST, F.col("head").cast("double")).alias("tau"))
+    cut = F.coalesce((F.col("tau") - F.abs("tau") * 1e-12) / LISTS, F.lit(float("-inf")))
+    left = lists.join(tau, "query_id", "left").withColumn("cut", cut)
+    rids = F.transform(F.filter("kept", lambda e: e["part"] >= F.col("cut")), lambda e: e["rid"])
+    return left.select("query_id", "b", "g", "v", rids.alias("rids")).where(F.size("rids") > 0), dealt
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score. Both tables: vec_id long, v array of float or double, all usable."""
-    spark = vectors.sparkSession
-    groups = max(1, -(-vectors.count() // GROUP))
-    asked = materialise(queries.dropDuplicates(["vec_id"]), "asked")
-    blocks = max(1, -(-asked.count() // BLOCK))
-
-    def placed(rows: DataFrame, own: str, n: int, other: str, m: int, seed: int) -> DataFrame:
-        spread = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        return rows.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")).withColumn(other, spread)
-
-    def met(left: DataFrame, kernel, schema: str) -> DataFrame:
-        a = placed(left, "b", blocks, "g", groups, 1).groupBy("b", "g")
-        return a.cogroup(placed(vectors, "g", groups, "b", blocks, 2).groupBy("b", "g")).applyInArrow(kernel, schema)
-
-    lists = materialise(met(asked, _phase1(k), "query_id long, list int, vec_id long, part double"), "lists")
-    least = lists.where("list < 0").groupBy("query_id", (-1 - F.col("list")).alias("list")).agg(F.min("part").alias("least"))
-    least = least.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("list", "least"))), lambda x: x["least"]).alias("least"))
-    best = W.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id")
-    seen = lists.where("list >= 0").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    gain = F.sum(F.col("part") - F.get("least", F.col("list"))).alias("gain")
-    sums = seen.join(least, "query_id").groupBy("query_id", "vec_id").agg(gain)
-    # A repeated (query, vec_id, list) would count twice; only rows that repeat a vec_id do that.
-    kth = F.get(F.reverse(F.array_sort(F.collect_list("gain"))), F.lit(k - 1))
-    tau = sums.groupBy("query_id").agg(kth.alias("tau")).join(least, "query_id")
-    cuts = F.transform("least", lambda x: x + F.col("tau") / LISTS - 0.5)
-    with_cuts = asked.join(tau.select(F.col("query_id").alias("vec_id"), F.when(F.col("tau").isNotNull(), cuts).alias("cuts")), "vec_id", "left")
-    local = met(with_cuts, _phase3(k), "query_id long, vec_id long, score long")
+    left, dealt = collected(vectors, queries, k)
+    local = left.groupBy("b", "g").cogroup(dealt.groupBy("b", "g")).applyInArrow(_resolve(k), FOUND)
     ranked = local.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
     vector = F.col("embedding")
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < float("inf")))
     return embeddings.where(F.col("vec_id").isNotNull() & (F.size(vector) > 0) & fine).select("vec_id", vector.alias("v"))
 
 
