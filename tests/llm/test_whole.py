@@ -65,8 +65,9 @@ def test_similar_links_in_blocks(spark, block):
     from pointweave.llm.common import materialise
 
     given = edited_texts(12)
-    rows = materialise(similar.with_sets(docs(spark, given)), "sets")
-    found = simhash.named(rows.select("doc_id", "fp"), similar.links(rows, block))
+    own = docs(spark, given)
+    rows = materialise(similar.with_sets(own), "sets")
+    found = simhash.named(rows.select("doc_id", "fp"), similar.links(rows, own, block))
     assert sorted({r["component_id"] for r in found.collect()}) == survivors(given)
 
 
