@@ -177,7 +177,9 @@ def rated_documents(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns."""
-    chosen = materialise(cutoffs(rated_documents(docs), labels), "cutoffs")
+    # Only labelled rows feed the cutoffs, so only theirs are rated before all rows are.
+    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = materialise(cutoffs(rated_documents(labelled), labels), "cutoffs")
     own = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", "text", "lang")
     # A filter must not be pushed below the features, where each of their nested uses would be evaluated anew;
     # it cannot pass a projection with a column that is not deterministic.
