@@ -11,10 +11,11 @@ keeps each prefix's last token; ids are recovered backwards. Time is linear in t
 No piece of such a model has a word after which a space mark follows, so texts part before space marks;
 recurring parts are kept in a bounded memo. A model with such pieces is encoded unparted.
 
-Characters outside the vocabulary become byte pieces, as the model's byte fallback asks.
+Characters outside the vocabulary become byte pieces, as the model's byte fallback asks. Decoding reads nothing but the ids.
 
-Defined results: null text is empty; an empty text has the end id alone and decodes to the empty string;
-repeated rows give repeated results; an empty table gives no rows; extra columns are ignored.
+Defined results: null text is empty; an empty text has the end id alone and decodes to the empty string; a very long text is
+encoded whole, in memory linear in it; repeated rows and null doc_ids give rows of their own; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ from .common import field, slices, table, text_or_empty, vocabulary
 SPACE = "▁"
 MEMO_PARTS = 600_000
 MEMO_PAIRS = 2_000_000
+#: Lone surrogates, which no text holds, for ids that aren't plain text: byte b is BYTE_0 + b.
+BYTE_0, CONTROL, UNKNOWN = 0xDC00, "\ud800", "\ud801"
+BYTE_RUNS = re.compile("[\udc00-\udcff]+").sub
 
 
 def merge_greedily(text: str, scores: dict[str, float]) -> list[str]:
@@ -57,7 +61,7 @@ class PrefixTable:
         import sentencepiece
 
         self.library = model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.eos = model.eos_id()
+        self._end = f" {model.eos_id()}"
         pieces = range(model.get_piece_size())
         self.bytes_at = {int(model.id_to_piece(i)[3:5], 16): i for i in pieces if model.is_byte(i)}
         plain = [i for i in pieces if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
@@ -71,18 +75,19 @@ class PrefixTable:
         self._pairs: dict[tuple[str, str], bool] = {}
         self._memo: dict[str, str] = {}
         self._words: dict[str, str] = {}
-        self._odd: dict[str, str] = {}
-        self._anchor = self.ids.get("a")
-        self._alike = self._decoding_alike()
+        self._old: dict[str, str] = {}
+        self._spelled = {piece: f"{i} " for piece, i in self.ids.items()}
+        self._texts = {str(i): self._text(i) for i in pieces}
         self._parted = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
 
-    def _decoding_alike(self) -> dict[str, str]:
-        """The decimal id and a space of each piece that the library decodes, behind another, to the text it stands for."""
-        if self._anchor is None:
-            return {}
-        pieces = list(self.ids)
-        backs = self.library.decode([[self._anchor, i] for i in self.ids.values()], num_threads=1)
-        return {p: f"{self.ids[p]} " for p, back in zip(pieces, backs) if back[1:] == p.replace(SPACE, " ")}
+    def _text(self, i: int) -> str:
+        """What an id stands for in a decoded text; bytes, control and unknown ids are kept as lone surrogates."""
+        model, piece = self.library, self.library.id_to_piece(i)
+        if model.is_byte(i):
+            return chr(BYTE_0 + int(piece[3:5], 16))
+        if model.is_control(i):
+            return CONTROL
+        return UNKNOWN if model.is_unknown(i) else piece.replace(SPACE, " ")
 
     def _fits(self, a: str, b: str) -> bool:
         known = self._pairs.get((a, b))
@@ -139,49 +144,60 @@ class PrefixTable:
         return text
 
     def _word(self, word: str) -> str:
-        """Ids of a word after one space, kept; a word that decodes to anything but itself is kept with that.
-
-        The library decodes pieces other than bytes one by one, so a word of pieces that decode to
-        their own text decodes to itself; it decodes all other words here.
-        """
+        """Ids of a word after one space, kept."""
         try:
-            spelled = "".join(map(self._alike.__getitem__, self.tokens(SPACE + word)))
+            spelled = "".join(map(self._spelled.__getitem__, self.tokens(SPACE + word)))
         except KeyError:
             spelled = self._ids(SPACE + word)
-            back = self.library.decode([self._anchor, *map(int, spelled.split())])[2:]
-            if back != word:
-                self._odd[word] = back
         if len(word) < 48:
-            if len(self._words) >= MEMO_PARTS:
-                self._words.clear()
+            if len(self._words) >= MEMO_PARTS // 2:
+                self._words, self._old = {}, self._words
             self._words[word] = spelled
         return spelled
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """Decimal ids joined by single spaces, the end id last, and their decoded text.
-
-        Ids of a part decode alike wherever it stands (a character's bytes never cross parts, and only the very
-        first space is dropped), so the library decodes each part once and the parts are joined.
-        """
-        end = str(self.eos)
+    def encode(self, text: str) -> str:
+        """Decimal ids joined by single spaces, the end id last."""
+        end = self._end[1:]
         if not text:
-            return end, ""
+            return end
         text = text.replace(SPACE, " ")
         words = text.split(" ")
-        if self._parted and self._anchor is not None and "" not in words:
-            memo, word = self._words, self._word
-            spelled = "".join([memo.get(w) or word(w) for w in words]) + end
-            odd = self._odd
-            decoded = " ".join([odd.get(w, w) for w in words]) if odd else text
-            if len(odd) >= MEMO_PARTS:  # between texts, and with the words that rely on it
-                odd.clear(), memo.clear()
-            return spelled, decoded
+        if self._parted and "" not in words:
+            memo, old, word = self._words, self._old, self._word
+            return "".join([memo.get(w) or old.pop(w, None) or word(w) for w in words]) + end
         if self._parted:  # runs of spaces, or a space at either end: a run belongs to the word after it
             memo, ids = self._memo, self._ids
-            spelled = "".join([memo.get(p) or ids(p) for p in [p.replace(" ", SPACE) for p in re.findall(" *[^ ]+| +$", " " + text)]]) + end
+            return "".join([memo.get(p) or ids(p) for p in [p.replace(" ", SPACE) for p in re.findall(" *[^ ]+| +$", " " + text)]]) + end
+        return self._ids(SPACE + text.replace(" ", SPACE)) + end
+
+    def decode(self, spelled: str) -> bytes:
+        """The UTF-8 text of decimal ids joined by single spaces, from the ids alone, as the library's decode(ids) gives it.
+
+        Pieces follow one another with spaces for marks, but for a mark that the text begins with.
+        """
+        text = "".join(map(self._texts.__getitem__, spelled.removesuffix(self._end).split(" ") if spelled != self._end[1:] else ()))
+        try:
+            return text.removeprefix(" ").encode()
+        except UnicodeEncodeError:  # bytes side by side make characters, unless another id parts them
+            text = BYTE_RUNS(_characters, text.lstrip(CONTROL).removeprefix(" "))
+            return text.replace(CONTROL, "").replace(UNKNOWN, " \u2047 ").encode()
+
+
+def _characters(run: re.Match) -> str:
+    """A run of bytes read as UTF-8; a byte that has no part in a character becomes a replacement character."""
+    raw, out, at = bytes(ord(c) - BYTE_0 for c in run[0]), [], 0
+    while at < len(raw):
+        for size in (1, 2, 3, 4):
+            try:
+                out.append(raw[at : at + size].decode())
+                break
+            except UnicodeDecodeError:
+                continue
         else:
-            spelled = self._ids(SPACE + text.replace(" ", SPACE)) + end
-        return spelled, self.library.decode(list(map(int, spelled.split(" "))))
+            out.append("\ufffd")
+            size = 1
+        at += size
+    return "".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -199,9 +215,10 @@ def encode_documents(docs: DataFrame, path: str, with_texts: bool = False) -> Da
             rows: list[tuple] = []
             for part in slices(batch):
                 for doc, text in zip(field(part, "doc_id").to_pylist(), field(part, "text").to_pylist()):
-                    spelled, decoded = encoder.encode(text)
-                    row = (doc, spelled.count(" ") + 1, hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    rows.append((*row, list(map(int, spelled.split(" "))), decoded) if with_texts else row)
+                    spelled = encoder.encode(text)
+                    decoded = encoder.decode(spelled)
+                    row = (doc, spelled.count(" ") + 1, hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                    rows.append((*row, list(map(int, spelled.split(" "))), decoded.decode()) if with_texts else row)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             columns = list(zip(*rows)) or [()] * (6 if with_texts else 4)
