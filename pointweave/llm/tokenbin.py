@@ -91,20 +91,32 @@ def packed_sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
         raise ValueError("position ids are unsigned 16-bit numbers: capacity must be 1 to 65536")
 
     def rows_of(pieces: list[tuple], first: int) -> pa.RecordBatch:
-        ids, cuts, places, segments = [], [], [], []
-        for pack in best_fit_decreasing([p[2] for p in pieces], capacity):
-            own = [pieces[i] for i in pack]
-            bounds = np.cumsum([0, *(p[2] for p in own)]).astype(np.int32)
-            ids.append(b"".join(p[4] for p in own) + struct.pack("<I", pad_id) * (capacity - int(bounds[-1])))
-            cuts.append(bounds)
-            places.append((np.arange(bounds[-1], dtype=np.int32) - np.repeat(bounds[:-1], np.diff(bounds))).astype("<u2").tobytes())
-            segments.append([{"doc_id": p[0], "start": p[1], "length": p[2], "doc_tokens": p[3]} for p in own])
+        packs = best_fit_decreasing([p[2] for p in pieces], capacity)
+        own = [pieces[i] for pack in packs for i in pack]
+        docs_, starts, lengths, tokens = (np.array([p[k] for p in own], dtype=object if k == 0 else np.int64) for k in range(4))
+        n, counts = len(packs), np.array([len(pack) for pack in packs])
+        heads = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        filled = np.diff(ends[heads])
+        # Pieces lie in their sequences' order, so the ids in a row fill the rows of the matrix from the left.
+        matrix = np.full((n, capacity), pad_id, dtype="<u4")
+        matrix[np.arange(capacity) < filled[:, None]] = np.frombuffer(b"".join([p[4] for p in own]), dtype="<u4")
+        places = (np.arange(ends[-1]) - np.repeat(ends[:-1], lengths)).astype("<u2")
+        # Every sequence has one bound more than segments: a zero before the running ends of its segments.
+        cuts = np.zeros(len(own) + n, dtype=np.int32)
+        inner = np.arange(len(own)) + np.repeat(np.arange(n), counts) + 1
+        cuts[inner] = ends[1:] - np.repeat(ends[heads[:-1]], counts)
+
+        def binary(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+            return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+
+        segments = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (docs_, starts, lengths, tokens)], fields=list(SEGMENT))
         columns = [
-            pa.array(range(first, first + len(ids)), pa.int64()),
-            pa.array(ids, pa.binary()),
-            pa.array(cuts, pa.list_(pa.int32())),
-            pa.array(places, pa.binary()),
-            pa.array(segments, pa.list_(SEGMENT)),
+            pa.array(np.arange(first, first + n), pa.int64()),
+            binary(np.arange(n + 1) * (4 * capacity), matrix),
+            pa.ListArray.from_arrays(pa.array((heads + np.arange(n + 1)).astype(np.int32)), pa.array(cuts)),
+            binary(2 * ends[heads], places),
+            pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), segments),
         ]
         return pa.RecordBatch.from_arrays(columns, names=["sequence_id", "input_ids", "cu_seqlens", "position_ids", "segments"])
 
