@@ -84,20 +84,73 @@ def toxic_table(spark, n=600, repeat=1):
     return docs(spark, rows), labels
 
 
+def brute_differences(counts, words):
+    """The definition, over all counts: {(before, word): (n0, n1)}."""
+    import math
+
+    from pointweave.llm.toxicity import DISCOUNT, LEAN
+
+    vocabulary = {w for _, w in counts}
+    shared = {w: sum(1 for _, x in counts if x == w) for w in vocabulary}
+    out = []
+    for b, w in zip([1, *words], words):
+        p = []
+        for c in (0, 1):
+            behind = {x: sum(1 for (_, y), n in counts.items() if y == x and n[c]) for x in vocabulary}
+            rest = sum(min(n, DISCOUNT) for n in behind.values())
+            base = (shared.get(w, 0) + 1) / (len(counts) + len(vocabulary) + 1)
+            lower = (max(behind.get(w, 0) - DISCOUNT, 0) + (rest + 1) * base) / (sum(behind.values()) + 1)
+            own = [n[c] for (x, _), n in counts.items() if x == b]
+            left = max(counts.get((b, w), (0, 0))[c] - DISCOUNT, 0)
+            p.append((left + (sum(min(n, DISCOUNT) for n in own) + LEAN) * lower) / (sum(own) + LEAN))
+        out.append(math.log(p[1] / p[0]))
+    return out
+
+
+def test_toxicity_differences_equal_the_definition(spark):
+    import numpy as np
+
+    from pointweave.llm import toxicity
+
+    rng = random.Random(9)
+    counts = {(rng.randrange(1, 13), rng.randrange(2, 14)): (rng.choice([0, 1, 3, 5, 9]), rng.choice([1, 2, 4, 30])) for _ in range(70)}
+    pairs = spark.createDataFrame([(b << 32 | w, *n) for (b, w), n in counts.items()], "code long, n0 long, n1 long")
+    trained = toxicity.train(pairs)
+    model = trained.gathered()
+    for _ in range(20):
+        words = [rng.randrange(2, 17) for _ in range(rng.randrange(1, 9))]
+        got = model.differences(np.array(words, np.uint64))
+        assert np.allclose(got, brute_differences(counts, words), atol=1e-5)
+
+
+def test_toxicity_by_joins_equals_by_broadcast(spark):
+    from pointweave.llm import toxicity
+
+    d, labels = toxic_table(spark, 300)
+    d = d.unionByName(spark.createDataFrame([(None, None, "en"), (7, "", "en"), (7, "scum " * 3000, "en")], DOCS))
+    known = labels.where("doc_id % 2 = 0")
+    trained, _ = toxicity.toxicity(d, labels)
+    one, other = (sorted(map(tuple, toxicity.with_evidence(d, trained, "doc_id", "text", most=m).collect()), key=str) for m in (0, 10**9))
+    assert known.count() and len(one) == len(other) == 303
+    for a, b in zip(one, other):
+        assert a[:2] == b[:2] and all(abs(x - y) < 1e-5 for x, y in zip(a[2:], b[2:]))
+
+
 def test_toxicity_counts_are_kept_by_key(spark):
     import numpy as np
 
     from pointweave.llm import toxicity
 
-    # As many words as slots of the former tables, and all of their counts.
+    # As many words as slots of the former tables. What tells the classes apart is there with all of its counts.
     n = 1 << 19
     codes = np.arange(n, dtype=np.uint64) * np.uint64(4) + np.uint64(2)
     pairs = spark.range(n).selectExpr("shiftleft(id * 4 + 2, 32) | (id * 4 + 6) AS code", "id % 7 AS n0", "id % 5 AS n1")
-    model = toxicity.train(pairs)
+    model = toxicity.train(pairs).gathered()
     i = np.arange(n)
+    telling = np.maximum(i % 7, i % 5) > 3
     at = model.contexts.at(codes)
-    assert (model.contexts.keys[at] == codes).all()
-    assert (model.contexts.values[0, at] == i % 7).all() and (model.contexts.values[1, at] == i % 5).all()
+    assert ((model.contexts.keys[at] == codes) == telling).all()
+    assert (model.contexts.values[0, at] == np.where(telling, i % 7, 0)).all() and (model.contexts.values[1, at] == np.where(telling, i % 5, 0)).all()
     left = model.bigrams.values[:, model.bigrams.at(codes << np.uint64(32) | codes + np.uint64(4))]
     assert (left == np.stack([np.maximum(i % 7 - 3, 0), np.maximum(i % 5 - 3, 0)])).all()
     absent = model.bigrams.at(codes << np.uint64(32) | codes)
