@@ -5,17 +5,18 @@ text likelihood x P(declared markup language | language) x P(address suffix | la
 
 Text: words and their letter trigrams, hashed to SLOTS slots, counted per language over all labelled
 documents; a page's likelihood is its mean per feature times TEXT_WEIGHT features, so that long pages
-do not drown the other evidence. The other tables are counted over all pages by their text-only
+do not drown the other evidence. Scripts, styles, heads, navigation, footers, asides, comments and blocks whose class says
+advertising are no text. The other tables are counted over all pages by their text-only
 posterior, as grouped sums: declared language by language, suffix by language, and host priors that
-shrink to the registered domain's, which shrink to the suffix's, which shrink to all pages'. A page's own
-share is taken out of its host's counts.
+shrink to the domain's (the last two labels of the host), which shrink to all pages'. The suffix is evidence of its own, so
+priors don't shrink to it. A page's own share is taken out of every table before the page is judged by it.
 
 Languages are a fixed list. Slot counts (at most SLOTS rows) and the declared table (languages + 2 rows) have
 fixed bounds; host tables are joined by shuffles, salted so that a hot host is met by many tasks.
 
 Defined results: null html has no text and null addresses have the host ''; a page without any evidence gets the
-largest prior; ties go to the earlier language of the list; repeated rows are judged alike and count each; an
-empty table gives no rows; extra columns are ignored.
+largest prior; ties go to the earlier language of the list; repeated rows are judged alike and count each; a very long
+page is read whole, in time linear in it; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,18 +37,39 @@ LANGUAGES = ("en", "de", "fr", "es")
 BITS = 16
 SLOTS = 1 << BITS
 TEXT_WEIGHT = 12.0
-HOST_PULL, DOMAIN_PULL, SUFFIX_PULL = 5.0, 20.0, 50.0
+HOST_PULL, DOMAIN_PULL = 5.0, 20.0
 SMOOTH = 0.5
 SALTS = 16
 MEMO_WORDS = 200_000
 
-SKIPPED = re.compile(r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>")
+#: What no reader reads, or what stands around the page's own text: elements, comments, and blocks marked as advertising.
+OPENING = re.compile(
+    r"(?i)<!--|<(script|style|head|nav|footer|aside)\b|<(div|section)\s[^<>]{0,200}?class\s*=\s*[\"']?(?:[\w-]{1,60}\s+){0,4}(?:ad|ads|advert|advertisement|sponsored)[\s\"'>]"
+)
 TAG = re.compile(r"(?s)<[^>]*>")
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def visible_text(html: str) -> str:
-    return entities.unescape(TAG.sub(" ", SKIPPED.sub(" ", html)))
+    """The text outside of skipped parts and tags, in time linear in the html: each closing is searched for once.
+
+    A skipped part ends at the first closing of its kind; one that is never closed isn't skipped, only its tag is.
+    """
+    kept, at, ends = [], 0, {}
+    for opening in OPENING.finditer(html):
+        if opening.start() < at:
+            continue
+        closing = "-->" if opening[0] == "<!--" else f"</{(opening[1] or opening[2]).lower()}"
+        end = ends.get(closing)
+        if end is None or 0 <= end < opening.end():
+            found = re.compile(re.escape(closing) + ("" if closing == "-->" else r"\s*>"), re.I).search(html, opening.end())
+            end = ends[closing] = found.end() if found else -1
+        if end >= 0:
+            kept += [html[at : opening.start()], " "]
+            at = end
+    rest = "".join([*kept, html[at:]])
+    closed = rest.rfind(">") + 1  # behind the last tag's end no "<" opens one, and before it every one ends
+    return entities.unescape(TAG.sub(" ", rest[:closed]) + rest[closed:])
 
 
 def features(word: str) -> list[int]:
@@ -158,27 +180,36 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     suffixes = materialise(summed(hosts, ["suffix"], "h", "s"), "suffixes")
     overall = suffixes.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"a{i}") for i in many]).first()
     base = [(overall[f"a{i}"] + SMOOTH) / (sum(overall) + SMOOTH * L) for i in many]
-    placed = hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix")
-    salted = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("domain")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    # One suffix, or one domain of many hosts, may hold a large part of them.
+    placed = hosts.withColumn("own", F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int"))
+    placed = placed.join(domains.withColumn("own", salts), ["domain", "suffix", "own"]).join(suffixes.withColumn("own", salts), ["suffix", "own"])
+    salted = placed.withColumn("salt", salts).drop("domain", "own")
     seen = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
 
     names = ["none", "other", *LANGUAGES]
     marked = rows.groupBy("declared").agg(*[F.sum(f"p{i}").alias(f"m{i}") for i in many]).collect()
     by_mark = {r["declared"]: r for r in marked}
     marks = [sum(r[f"m{i}"] for r in marked) for i in many]
-    declared = [
-        F.coalesce(*[F.when(F.col("declared") == x, F.lit(float(np.log(((by_mark[x][f"m{i}"] if x in by_mark else 0.0) + SMOOTH) / (marks[i] + SMOOTH * len(names)))))) for x in names])
-        for i in many
-    ]
     kinds = max(1, suffixes.count())
     logs = []
+
+    def less_own(table_: str, i: int) -> Column:
+        return F.greatest(F.col(f"{table_}{i}") - F.col(f"p{i}"), F.lit(0.0))
+
+    def less_all(table_: str) -> Column:
+        return F.greatest(total(table_) - total("p"), F.lit(0.0))
+
     for i in many:
-        others = F.greatest(total("s") - total("p"), F.lit(0.0))
-        suffix = (F.greatest(F.col(f"s{i}") - F.col(f"p{i}"), F.lit(0.0)) + SUFFIX_PULL * base[i]) / (others + SUFFIX_PULL)
-        domain = (F.greatest(F.col(f"d{i}") - F.col(f"p{i}"), F.lit(0.0)) + DOMAIN_PULL * suffix) / (F.greatest(total("d") - total("p"), F.lit(0.0)) + DOMAIN_PULL)
-        prior = (F.greatest(F.col(f"h{i}") - F.col(f"p{i}"), F.lit(0.0)) + HOST_PULL * domain) / (F.greatest(total("h") - total("p"), F.lit(0.0)) + HOST_PULL)
-        given = (F.col(f"s{i}") + SMOOTH) / (marks[i] + SMOOTH * kinds)
-        logs.append((F.col(f"t{i}") + declared[i] + F.ln(given) + F.ln(prior)).alias(f"l{i}"))
+        mark = F.lit(0.0)
+        for x in names:
+            mark = F.when(F.col("declared") == x, F.lit(float(by_mark[x][f"m{i}"] if x in by_mark else 0.0))).otherwise(mark)
+        rest = F.greatest(F.lit(float(marks[i])) - F.col(f"p{i}"), F.lit(0.0))
+        declared = (F.greatest(mark - F.col(f"p{i}"), F.lit(0.0)) + SMOOTH) / (rest + SMOOTH * len(names))
+        given = (less_own("s", i) + SMOOTH) / (rest + SMOOTH * kinds)
+        domain = (less_own("d", i) + DOMAIN_PULL * base[i]) / (less_all("d") + DOMAIN_PULL)
+        prior = (less_own("h", i) + HOST_PULL * domain) / (less_all("h") + HOST_PULL)
+        logs.append((F.col(f"t{i}") + F.ln(declared) + F.ln(given) + F.ln(prior)).alias(f"l{i}"))
     fused = seen.select("page_id", "host", "declared", *logs)
     posterior = softmax([F.col(f"l{i}") for i in many])
     best = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-i).alias("i")) for i, p in enumerate(posterior)]))
