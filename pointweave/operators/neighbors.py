@@ -1,61 +1,98 @@
 """Exact nearest neighbours, ties and distortion on integer clouds.
 
-Points meet by equi-joins on grid cells, never by a range predicate. A query first looks in the 27 cells around its
-own; a neighbour closer than the border of what was probed is settled, the others widen their ring. Candidates are
-whole cells; the distances are integers, so ties are exact.
+Points meet by equi-joins on grid cells, never by a range predicate. The first cells are as wide as the points are
+apart; a query looks in the 27 cells around its own, and a neighbour closer than the border of what was probed is settled. The
+others look again in wider cells, until none is left or the 27 cells hold the whole cloud: no query is ever dropped.
+Distances are integers, so ties are exact.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import norm_l2sq, psnr, rgb_to_yuv
+from pointweave.operators.cuts import Written
 
 AXES = ("x", "y", "z")
+CELLS = ("cx", "cy", "cz")
+#: Sides tried for the first cells, points per occupied cell that they may hold, and how much wider the next cells are.
+FIRST_SIDES, CROWD, WIDER = tuple(1 << i for i in range(21)), 3.0, 4
 
 
-def _celled(points: DataFrame, side: int, names: tuple[str, str, str]) -> DataFrame:
-    return points.withColumns({n: F.floor(F.col(c) / side).cast("long") for n, c in zip(names, AXES)})
+def _cell(c: str, side: int) -> Column:
+    return F.floor(F.col(c) / side).cast("long")
+
+
+def _meet(queries: DataFrame, points: DataFrame, side: int, reach: int, *keep: str, within: str | None = None) -> DataFrame:
+    """kept columns of queries, pid and d2 of all points in the cells up to ``reach`` around each query's cell.
+
+    within: a column of squared distances; cells that lie farther away than that are left out.
+    """
+    around = queries
+    for n, c in zip(CELLS, AXES):
+        around = around.withColumn(n, F.explode(F.sequence(_cell(c, side) - reach, _cell(c, side) + reach)))
+    if within:
+        apart = [F.greatest(F.col(n) * side - F.col(c), F.col(c) - (F.col(n) + 1) * side + 1, F.lit(0).cast("long")) for n, c in zip(CELLS, AXES)]
+        around = around.where(norm_l2sq(*apart) <= F.col(within))
+    near = points.select(*[_cell(c, side).alias(n) for n, c in zip(CELLS, AXES)], "pid", *[F.col(c).alias(f"p{c}") for c in AXES])
+    d2 = norm_l2sq(*[F.col(c) - F.col(f"p{c}") for c in AXES])
+    return around.join(near, list(CELLS)).select(*keep, "pid", d2.alias("d2"))
 
 
 def candidates(queries: DataFrame, points: DataFrame, side: int, reach: int) -> DataFrame:
     """(qid, pid, d2) of all points in the cells up to ``reach`` around each query's cell."""
-    cells = ("cx", "cy", "cz")
-    around = _celled(queries, side, cells)
-    for n in cells:
-        around = around.withColumn(n, F.explode(F.sequence(F.col(n) - reach, F.col(n) + reach)))
-    near = _celled(points, side, cells).select(*cells, F.col("pid"), *[F.col(c).alias(f"p{c}") for c in AXES])
-    d2 = norm_l2sq(*[F.col(c) - F.col(f"p{c}") for c in AXES])
-    return around.join(near, list(cells)).select("qid", "pid", d2.alias("d2"))
+    return _meet(queries, points, side, reach, "qid")
+
 
+def _plan(queries: DataFrame, points: DataFrame) -> tuple[int, int]:
+    """The side of the first cells and the side from which 27 cells hold both clouds."""
+    cells = [F.approx_count_distinct(F.struct(*[_cell(c, s) for c in AXES])).alias(f"n{s}") for s in FIRST_SIDES]
+    seen = points.agg(F.count("*").alias("n"), *cells, *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in AXES]).first()
+    asked = queries.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in AXES]).first()
+    if not seen["n"] or asked["min_x"] is None:
+        return 1, 1
+    extent = max(max(seen[f"max_{c}"], asked[f"max_{c}"]) - min(seen[f"min_{c}"], asked[f"min_{c}"]) for c in AXES)
+    fit = [s for s in FIRST_SIDES if seen["n"] <= CROWD * max(1, seen[f"n{s}"])]
+    return (fit or [1])[-1], extent + 1
 
-def nearest(queries: DataFrame, points: DataFrame, sides: tuple[int, ...] = (4, 16, 128), k: int = 1, skip_zero: bool = False) -> DataFrame:
-    """(qid, pid, d2, rank): the k nearest points of each query and all that tie with the k-th.
 
-    queries: qid, x, y, z; points: pid, x, y, z. Cells widen from round to round and each takes only the queries that
-    the one before left open, so a round probes 27 cells; the last side has to span the cloud.
+def nearest(queries: DataFrame, points: DataFrame, k: int = 1, skip_zero: bool = False) -> DataFrame:
+    """(qid, pid, d2): the k nearest points of each query and all that tie with the k-th; k > 1 adds the rank.
+
+    queries: qid, x, y, z; points: pid, x, y, z. For k = 1 only the least distance is aggregated, before any shuffle of
+    candidates; the tied points come from a second look into the cells that this distance reaches.
+    Equal places are different points; a query without any point (at another place, with skip_zero) gives no row.
     """
+    asked, given = Written(queries.select("qid", *AXES), "queries"), Written(points.select("pid", *AXES), "points")
+    side, whole = _plan(asked.df, given.df)
     found: list[DataFrame] = []
-    open_ = queries
-    for i, side in enumerate(sides):
-        near = candidates(open_, points, side, 1)
+    open_ = asked.df
+    while True:
+        last = side >= whole
+        sure = F.lit(True) if last else F.col("best") < (side + 1) * (side + 1)  # what wasn't probed is over a side away
+        near = _meet(open_, given.df, side, 1, "qid")
         if skip_zero:
             near = near.where("d2 > 0")
-        ranked = near.withColumn("rank", F.rank().over(W.partitionBy("qid").orderBy("d2"))).where(F.col("rank") <= k)
-        if i == len(sides) - 1:
-            found.append(ranked)
+        if k == 1:
+            best = near.groupBy("qid").agg(F.min("d2").alias("best")).where(sure)
+            settled = Written(open_.join(best, "qid"), "settled")
+            found.append(_meet(settled.df, given.df, side, 1, "qid", "best", within="best").where(F.col("d2") == F.col("best")).drop("best"))
+        else:
+            ranked = near.withColumn("rank", F.rank().over(W.partitionBy("qid").orderBy("d2"))).where(F.col("rank") <= k)
+            known = W.partitionBy("qid")
+            ranked = ranked.withColumn("best", F.max("d2").over(known)).withColumn("n", F.count("*").over(known))
+            settled = Written(ranked.where(sure if last else sure & (F.col("n") >= k)).select("qid", "pid", "d2", "rank"), "settled")
+            found.append(settled.df)
+        if last:
+            break
+        left = Written(open_.join(settled.df.select("qid").distinct(), "qid", "left_anti"), "open")
+        if left.df.isEmpty():
             break
-        ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
-        # Points outside the probed cells are more than one side away on some axis.
-        kth = ranked.groupBy("qid").agg(F.max("d2").alias("worst"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("worst") <= side * side))
-        settled = kth.select("qid")
-        found.append(ranked.join(settled, "qid", "left_semi"))
-        open_ = open_.join(settled, "qid", "left_anti")
+        open_, side = left.df, side * WIDER
     return reduce(DataFrame.unionByName, found)
 
 

@@ -6,18 +6,30 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.columns import psnr
 from pointweave.operators import groups, neighbors
+from pointweave.operators.cuts import Written
 from pointweave.plans.base import STEP, first_points, lossy, point_cloud, query
 
 ATTRS = ("r", "g", "b", "refl")
 #: The lossy cloud put back to scale; every coordinate is whole.
 BACK = "back AS (SELECT x * 4 AS x, y * 4 AS y, z * 4 AS z, r, g, b, refl, (x * 1000 + y) * 1000 + z AS pid FROM lossy)"
-#: Queries of the neighbour oracles: one frame of the cells, so that DuckDB can meet all pairs.
-ASK = "ask AS (SELECT point_id AS qid, x, y, z, r, g, b, refl FROM first WHERE frame = 0 AND x < 32)"
-PAIRS = "pairs AS (SELECT qid, pid, CAST((a.x - p.x) * (a.x - p.x) + (a.y - p.y) * (a.y - p.y) + (a.z - p.z) * (a.z - p.z) AS BIGINT) AS d2 FROM ask a, back p)"
+ASK = "ask AS (SELECT point_id AS qid, x, y, z, r, g, b, refl FROM first)"
+#: The reconstruction of the transfer queries has one more cell along x, so that some of its points lie apart from all originals.
+GROWN = "grown AS (SELECT DISTINCT x, y, z, (x * 250 + y // 4) * 1000 + z // 4 AS pid FROM (SELECT x, y, z FROM back UNION ALL SELECT x + 4, y, z FROM back))"
 
 
-def _sql(body: str, *more: str) -> str:
-    return f"SELECT * FROM (WITH {', '.join((BACK, ASK, PAIRS, *more))} {body})"
+def _near(name: str, source: str, target: str, side: int) -> str:
+    """Pairs of DuckDB: the source's points with all target points in the 27 cells of ``side`` around; no nearest point lies beyond them here."""
+    return f"""{name} AS MATERIALIZED (SELECT qid, pid, CAST((a.x - p.x) * (a.x - p.x) + (a.y - p.y) * (a.y - p.y) + (a.z - p.z) * (a.z - p.z) AS BIGINT) AS d2
+ FROM (SELECT qid, x, y, z, x // {side} + i AS cx, y // {side} + j AS cy, z // {side} + k AS cz FROM {source}, range(-1, 2) u(i), range(-1, 2) v(j), range(-1, 2) w(k)) a
+ JOIN (SELECT pid, x, y, z, x // {side} AS cx, y // {side} AS cy, z // {side} AS cz FROM {target}) p USING (cx, cy, cz))"""
+
+
+PAIRS = _near("pairs", "ask", "back", 8)
+PUSHES = _near("pairs", "ask", "grown", 8)
+
+
+def _sql(body: str, *more: str, pairs: str = PAIRS) -> str:
+    return f"SELECT * FROM (WITH {', '.join((BACK, GROWN, ASK, pairs, *more))} {body})"
 
 
 def restored(spark, d):
@@ -27,8 +39,18 @@ def restored(spark, d):
     return cells.select(pid, *[(F.col(c) * int(STEP)).alias(c) for c in "xyz"], *ATTRS)
 
 
+def grown(spark, d):
+    """pid, x, y, z: the restored cells and the ones after them along x."""
+    cells = restored(spark, d).select("x", "y", "z")
+    cells = cells.unionByName(cells.withColumn("x", F.col("x") + int(STEP))).distinct()
+    return cells.select(((F.col("x") * 250 + F.floor(F.col("y") / 4)) * 1000 + F.floor(F.col("z") / 4)).alias("pid"), "x", "y", "z")
+
+
 def asked(spark, d):
-    return first_points(spark, d).where("frame = 0 and x < 32").select(F.col("point_id").alias("qid"), "x", "y", "z", *ATTRS)
+    return first_points(spark, d).select(F.col("point_id").alias("qid"), "x", "y", "z", *ATTRS)
+
+
+_TIED = "tied AS (SELECT qid, pid, d2 FROM pairs JOIN (SELECT qid, min(d2) AS d2 FROM pairs GROUP BY qid) USING (qid, d2))"
 
 
 @query("knn_exact", "first lossy", _sql("SELECT qid, d2, CAST(n AS BIGINT) AS n FROM (SELECT qid, d2, count(*) AS n, sum(count(*)) OVER (PARTITION BY qid ORDER BY d2) - count(*) AS before FROM pairs GROUP BY qid, d2) WHERE before < 3"))
@@ -38,12 +60,12 @@ def knn_exact(spark, d):
     return near.groupBy("qid", "d2").agg(F.count("*").alias("n"))
 
 
-@query("knn_ties", "first lossy", _sql("SELECT qid, pid, d2 FROM pairs QUALIFY d2 = min(d2) OVER (PARTITION BY qid)"))
+@query("knn_ties", "first lossy", _sql("SELECT * FROM tied", _TIED))
 def knn_ties(spark, d):
     return neighbors.nearest(asked(spark, d).select("qid", "x", "y", "z"), restored(spark, d).select("pid", "x", "y", "z")).select("qid", "pid", "d2")
 
 
-@query("tie_pred", "first lossy", _sql("SELECT qid, count(*) AS ties FROM (SELECT * FROM pairs QUALIFY d2 = min(d2) OVER (PARTITION BY qid)) GROUP BY qid HAVING count(*) > 1"))
+@query("tie_pred", "first lossy", _sql("SELECT qid, count(*) AS ties FROM tied GROUP BY qid HAVING count(*) > 1", _TIED))
 def tie_pred(spark, d):
     return knn_ties(spark, d).groupBy("qid").agg(F.count("*").alias("ties")).where("ties > 1")
 
@@ -62,56 +84,67 @@ def radius_search(spark, d):
     return near.where("d2 <= 36").groupBy("qid").agg(F.count("*").alias("n"), F.sum("d2").alias("total"))
 
 
-_TIED = "tied AS (SELECT * FROM pairs QUALIFY d2 = min(d2) OVER (PARTITION BY qid))"
-
-
 @query("tied_mean", "first lossy", _sql("SELECT qid, " + ", ".join(f"CAST(round(sum({a}) / count(*)) AS BIGINT) AS {a}" for a in ATTRS) + " FROM tied JOIN back USING (pid) GROUP BY qid", _TIED))
 def tied_mean(spark, d):
     near, theirs = knn_ties(spark, d), restored(spark, d).select("pid", *ATTRS)
     return near.join(theirs, "pid").groupBy("qid").agg(*[F.round(F.sum(a) / F.count("*")).cast("long").alias(a) for a in ATTRS])
 
 
-_FORWARD = "pushed AS (SELECT pid, " + ", ".join(f"CAST(round(sum(a.{c}) / count(*)) AS BIGINT) AS {c}" for c in ATTRS) + " FROM tied JOIN ask a USING (qid) GROUP BY pid)"
+_FORWARD = "pushed AS MATERIALIZED (SELECT pid, " + ", ".join(f"CAST(round(sum(a.{c}) / count(*)) AS BIGINT) AS {c}" for c in ATTRS) + " FROM tied JOIN ask a USING (qid) GROUP BY pid)"
 
 
-@query("nearest_forward", "first lossy", _sql("SELECT * FROM pushed", _TIED, _FORWARD))
+def _transfer(body: str, *more: str) -> str:
+    return _sql(body, _TIED, _FORWARD, *more, pairs=PUSHES)
+
+
+def _means():
+    return [F.round(F.sum(a) / F.count("*")).cast("long").alias(a) for a in ATTRS]
+
+
+@query("nearest_forward", "first lossy", _transfer("SELECT * FROM pushed"))
 def nearest_forward(spark, d):
     """Every original point pushes its attributes to all its nearest reconstructed points; those take means."""
-    own = asked(spark, d).select("qid", *ATTRS)
-    return knn_ties(spark, d).join(own, "qid").groupBy("pid").agg(*[F.round(F.sum(a) / F.count("*")).cast("long").alias(a) for a in ATTRS])
+    own = asked(spark, d)
+    near = neighbors.nearest(own.select("qid", "x", "y", "z"), grown(spark, d))
+    return near.join(own.select("qid", *ATTRS), "qid").groupBy("pid").agg(*_means())
 
 
-@query("projected_mean", "first lossy", _sql("SELECT pid, refl FROM pushed", _TIED, _FORWARD))
+@query("projected_mean", "first lossy", _transfer("SELECT pid, refl FROM pushed"))
 def projected_mean(spark, d):
     return nearest_forward(spark, d).select("pid", "refl")
 
 
-_BACKWARD = f"""lonely AS (SELECT * FROM back WHERE x < 32 AND pid NOT IN (SELECT pid FROM pushed)),
-far AS (SELECT l.pid, a.*, (a.x - l.x) * (a.x - l.x) + (a.y - l.y) * (a.y - l.y) + (a.z - l.z) * (a.z - l.z) AS d2 FROM lonely l, ask a QUALIFY d2 = min(d2) OVER (PARTITION BY l.pid)),
-pulled AS (SELECT pid, {', '.join(f'CAST(round(sum({c}) / count(*)) AS BIGINT) AS {c}' for c in ATTRS)} FROM far GROUP BY pid)"""
+_BACKWARD = f"""lonely AS (SELECT pid AS qid, x, y, z FROM grown WHERE pid NOT IN (SELECT pid FROM pushed)),
+{_near("far", "lonely", "(SELECT qid AS pid, x, y, z FROM ask)", 8)},
+pulled AS (SELECT far.qid AS pid, {', '.join(f'CAST(round(sum({c}) / count(*)) AS BIGINT) AS {c}' for c in ATTRS)} FROM far JOIN (SELECT qid, min(d2) AS d2 FROM far GROUP BY qid) USING (qid, d2) JOIN ask ON ask.qid = far.pid GROUP BY far.qid)"""
 
 
-@query("nearest_backward", "first lossy", _sql("SELECT * FROM pulled", _TIED, _FORWARD, _BACKWARD))
+@query("nearest_backward", "first lossy", _transfer("SELECT * FROM pulled", _BACKWARD))
 def nearest_backward(spark, d):
     """Reconstructed points that nothing was pushed to take the mean of their tied nearest originals."""
-    lonely = restored(spark, d).where("x < 32").join(nearest_forward(spark, d).select("pid"), "pid", "left_anti")
+    return _pulled(spark, d, nearest_forward(spark, d))
+
+
+def _pulled(spark, d, pushed):
+    lonely = grown(spark, d).join(pushed.select("pid"), "pid", "left_anti")
     points = asked(spark, d)
     near = neighbors.nearest(lonely.select(F.col("pid").alias("qid"), "x", "y", "z"), points.select(F.col("qid").alias("pid"), "x", "y", "z"))
     met = near.select(F.col("qid").alias("own"), F.col("pid").alias("qid")).join(points.select("qid", *ATTRS), "qid")
-    return met.groupBy(F.col("own").alias("pid")).agg(*[F.round(F.sum(a) / F.count("*")).cast("long").alias(a) for a in ATTRS])
+    return met.groupBy(F.col("own").alias("pid")).agg(*_means())
 
 
-@query("recolour", "first lossy", _sql("SELECT * FROM pushed UNION ALL SELECT * FROM pulled", _TIED, _FORWARD, _BACKWARD))
+@query("recolour", "first lossy", _transfer("SELECT * FROM pushed UNION ALL SELECT * FROM pulled", _BACKWARD))
 def recolour(spark, d):
-    return nearest_forward(spark, d).unionByName(nearest_backward(spark, d))
+    pushed = Written(nearest_forward(spark, d), "pushed").df
+    return pushed.unionByName(_pulled(spark, d, pushed))
 
 
-@query("color_transfer", "first lossy", _sql("SELECT pid, r, g, b FROM pushed UNION ALL SELECT pid, r, g, b FROM pulled", _TIED, _FORWARD, _BACKWARD))
+@query("color_transfer", "first lossy", _transfer("SELECT pid, r, g, b FROM pushed UNION ALL SELECT pid, r, g, b FROM pulled", _BACKWARD))
 def color_transfer(spark, d):
     return recolour(spark, d).select("pid", "r", "g", "b")
 
 
-@query("reflectance_transfer", "first lossy", _sql("SELECT pid, refl FROM pushed UNION ALL SELECT pid, refl FROM pulled", _TIED, _FORWARD, _BACKWARD))
+@query("reflectance_transfer", "first lossy", _transfer("SELECT pid, refl FROM pushed UNION ALL SELECT pid, refl FROM pulled", _BACKWARD))
 def reflectance_transfer(spark, d):
     return recolour(spark, d).select("pid", "refl")
 
@@ -178,20 +211,33 @@ def symmetric_metric(spark, d):
     return neighbors.symmetric(neighbors.distortion(full, back), neighbors.distortion(back, full))
 
 
-@query("intrinsic_resolution", "first", """SELECT sqrt(max(d2)) AS resolution FROM (SELECT s.point_id, min((s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z)) AS d2
- FROM first s, range(-1, 2) i(dx), range(-1, 2) j(dy), range(-1, 2) k(dz), first t WHERE t.x // 8 = s.x // 8 + dx AND t.y // 8 = s.y // 8 + dy AND t.z // 8 = s.z // 8 + dz AND s.point_id <> t.point_id GROUP BY 1)""")
+_SELF = f"SELECT sqrt(max(d2)) AS resolution FROM (WITH own AS (SELECT point_id AS qid, point_id AS pid, x, y, z FROM first), {_near('pairs', 'own', 'own', 4)} SELECT qid, min(d2) AS d2 FROM pairs WHERE qid <> pid GROUP BY qid)"
+
+
+@query("intrinsic_resolution", "first", _SELF)
 def intrinsic_resolution(spark, d):
     cells = first_points(spark, d)
     near = neighbors.nearest(cells.select(F.col("point_id").alias("qid"), "x", "y", "z"), cells.select(F.col("point_id").alias("pid"), "x", "y", "z"), skip_zero=True)
     return near.agg(F.sqrt(F.max("d2").cast("double")).alias("resolution"))
 
 
-@query("frame_average", "pc", "SELECT avg(db) AS mean_psnr FROM (SELECT frame, round(10 * log10(255.0::DOUBLE * 255 / (sum((r - g) * (r - g)) / count(*))), 9) AS db FROM pc GROUP BY frame)")
+#: Frames lie side by side, this far apart along x, so that no frame's points are near another's.
+APART = 1 << 16
+_FRAMES = f"""WITH moved AS (SELECT x + frame * {APART} AS x, y, z, min(point_id) AS qid FROM pc GROUP BY 1, 2, 3),
+twin AS (SELECT *, row_number() OVER () AS pid FROM (SELECT DISTINCT CAST(round(x / 4.0) AS BIGINT) * 4 AS x, CAST(round(y / 4.0) AS BIGINT) * 4 AS y, CAST(round(z / 4.0) AS BIGINT) * 4 AS z FROM moved)),
+{_near('pairs', 'moved', 'twin', 8)}
+SELECT avg(db) AS mean_psnr FROM (SELECT x // {APART} AS frame, round(10 * log10(3 * 127.0::DOUBLE * 127 / (sum(d2) / count(*))), 9) AS db FROM (SELECT qid, min(d2) AS d2 FROM pairs GROUP BY qid) JOIN moved USING (qid) GROUP BY 1)"""
+
+
+@query("frame_average", "pc", f"SELECT * FROM ({_FRAMES})")
 def frame_average(spark, d):
-    """The mean over frames of a per-frame PSNR, here of red against green."""
-    square = (F.col("r") - F.col("g")) * (F.col("r") - F.col("g"))
-    per = point_cloud(spark, d).groupBy("frame").agg((F.sum(square) / F.count("*")).alias("mse"))
-    return per.agg(F.avg(F.round(psnr(F.col("mse"), F.lit(255.0)), 9)).alias("mean_psnr"))
+    """The mean over frames of the geometry PSNR of each frame against its own lossy twin."""
+    moved = point_cloud(spark, d).withColumn("x", F.col("x") + F.col("frame") * APART)
+    full = groups.dedupe_first(moved, "x", "y", "z").select(F.col("point_id").alias("qid"), "frame", "x", "y", "z")
+    twin = groups.fast_recolor(moved, STEP).select(F.monotonically_increasing_id().alias("pid"), *[(F.col(c) * int(STEP)).alias(c) for c in "xyz"])
+    best = neighbors.nearest(full.select("qid", "x", "y", "z"), twin).groupBy("qid").agg(F.min("d2").alias("d2"))
+    per = best.join(full.select("qid", "frame"), "qid").groupBy("frame").agg((F.sum("d2") / F.count("*")).alias("mse"))
+    return per.agg(F.avg(F.round(psnr(F.col("mse"), F.lit(127.0), 3), 9)).alias("mean_psnr"))
 
 
 def flagship(spark, d):
