@@ -54,22 +54,19 @@ def yuv_to_rgb(y: Column, u: Column, v: Column) -> tuple[Column, Column, Column]
     return byte(y + V_TO_R * v), byte(y - U_TO_G * u - V_TO_G * v), byte(y + U_TO_B * u)
 
 
-def spread3(v: Column) -> Column:
-    """Puts two zero bits between the bits of a 21-bit number: five doubling steps."""
-    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+def in_range(code: Column, bits: int, *axes: Column) -> Column:
+    """A code of coordinates; where one doesn't fit into ``bits`` bits that is an error, not a cut."""
+    fit = reduce(lambda a, b: a & b, [(v >= 0) & (v < (1 << bits)) for v in axes])
+    return F.when(F.coalesce(fit, F.lit(True)), code).otherwise(F.raise_error(F.lit(f"a coordinate doesn't fit into {bits} bits")))
 
 
 def morton3(x: Column, y: Column, z: Column, bits: int = MORTON_BITS) -> Column:
-    """Interleaved code, x before y before z in each triple; coordinates of up to ``bits`` bits, not negative."""
+    """Interleaved code, x before y before z in each triple; coordinates of more than ``bits`` bits, or negative, are errors."""
     if not 0 < bits <= MORTON_BITS:
         raise ValueError("a Morton code holds at most 21 bits per axis")
-
-    def one(v: Column, place: int) -> list[Column]:
-        return [F.shiftleft(F.shiftright(v, i).bitwiseAND(F.lit(1)), 3 * i + place) for i in range(bits)]
-
-    return reduce(lambda a, b: a.bitwiseOR(b), one(x, 2) + one(y, 1) + one(z, 0))
+    x, y, z = (v.cast("long") for v in (x, y, z))
+    parts = [F.shiftleft(F.shiftright(v, i).bitwiseAND(F.lit(1)), 3 * i + place) for v, place in ((x, 2), (y, 1), (z, 0)) for i in range(bits)]
+    return in_range(reduce(lambda a, b: a.bitwiseOR(b), parts), bits, x, y, z)
 
 
 def unmorton(code: Column, place: int, bits: int = MORTON_BITS) -> Column:
@@ -170,7 +167,8 @@ def hilbert3(x: Column, y: Column, z: Column, bits: int = HILBERT_BITS) -> Colum
         return F.struct(_table(following, at).alias("state"), (acc["code"] * 8 + _table(rank, at)).alias("code"))
 
     start = F.struct(F.lit(0).cast("long").alias("state"), F.lit(0).cast("long").alias("code"))
-    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["code"])
+    code = F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["code"])
+    return in_range(code, bits, x, y, z)
 
 
 def split_params(sizes: list[Column], before: Column, smallest: Column) -> tuple[Column, Column]:

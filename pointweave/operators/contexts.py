@@ -1,4 +1,7 @@
-"""Neighbour contexts of octree nodes: equi-joins on shifted cells, one row per node or child."""
+"""Neighbour contexts of octree nodes: equi-joins on shifted cells of the same level, one row per node or child.
+
+Nodes: level, node, occupancy.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.functions.columns import morton3, unmorton
+from pointweave.functions.columns import unmorton
 
 #: Per child the places of its three face and three edge neighbours in a 3x3x3 block in x, y, z order.
 CHILD_NEIGHBOURS = (
@@ -22,18 +25,30 @@ CHILD_NEIGHBOURS = (
 )
 BLOCK = [(i // 9 - 1, i // 3 % 3 - 1, i % 3 - 1) for i in range(27)]
 FACES_AND_EDGES = [i for i, d in enumerate(BLOCK) if 1 <= sum(map(abs, d)) <= 2]
-BITS = 8
 
 
 def with_cell(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumns({c: unmorton(F.col("node"), p, BITS) for c, p in (("x", 2), ("y", 1), ("z", 0))})
+    return nodes.withColumns({c: unmorton(F.col("node"), p) for c, p in (("x", 2), ("y", 1), ("z", 0))})
+
+
+#: The bits of each axis in a code.
+FIELDS = tuple(sum(1 << 3 * i + place for i in range(21)) for place in (2, 1, 0))
 
 
-def moved(dx: Column | int, dy: Column | int, dz: Column | int) -> Column:
-    """Code of the cell moved by an offset; null outside the non-negative octant."""
-    at = [F.col(c) + (F.lit(d) if isinstance(d, int) else d) for c, d in zip("xyz", (dx, dy, dz))]
-    inside = (at[0] >= 0) & (at[1] >= 0) & (at[2] >= 0)
-    return F.when(inside, morton3(*at, BITS))
+def moved(*offset: int) -> Column:
+    """Code of the node moved by -1, 0 or 1 on each axis, worked out on the code itself; null outside the codes' space."""
+    node, parts, inside = F.col("node"), [], F.lit(True)
+    for field, d in zip(FIELDS, offset):
+        own, unit = node.bitwiseAND(F.lit(field)), field & -field
+        if d > 0:  # with all foreign bits set, a carry passes through them
+            parts.append((node.bitwiseOR(F.lit(~field)) + F.lit(unit)).bitwiseAND(F.lit(field)))
+            inside = inside & (own != field)
+        elif d < 0:
+            parts.append((own - F.lit(unit)).bitwiseAND(F.lit(field)))
+            inside = inside & (own != 0)
+        else:
+            parts.append(own)
+    return F.when(inside, reduce(lambda a, b: a.bitwiseOR(b), parts))
 
 
 def neighbour_mask(nodes: DataFrame) -> DataFrame:
@@ -41,11 +56,10 @@ def neighbour_mask(nodes: DataFrame) -> DataFrame:
 
     One row per node and offset meets the node table once; the bits come back by a partial aggregate.
     """
-    cells = with_cell(nodes)
-    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(d).alias(f"d{c}") for c, d in zip("xyz", BLOCK[i])]) for i in FACES_AND_EDGES]))
-    spread = cells.withColumn("o", offsets).withColumn("other", moved(F.col("o.dx"), F.col("o.dy"), F.col("o.dz")))
-    hit = spread.join(nodes.select(F.col("node").alias("other")), "other").groupBy("node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("o.i"))).cast("long").alias("mask"))
-    return nodes.join(hit, "node", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), moved(*BLOCK[i]).alias("other")) for i in FACES_AND_EDGES]))
+    spread = nodes.select("level", "node", places.alias("o")).select("level", "node", "o.*").where(F.col("other").isNotNull())
+    hit = spread.join(nodes.select("level", F.col("node").alias("other")), ["level", "other"]).groupBy("level", "node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("i"))).cast("long").alias("mask"))
+    return nodes.join(hit, ["level", "node"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
 
 
 def parent_child_context(masked: DataFrame) -> DataFrame:
@@ -55,16 +69,16 @@ def parent_child_context(masked: DataFrame) -> DataFrame:
     for child, (f0, f1, f2, e0, e1, e2) in enumerate(CHILD_NEIGHBOURS):
         faces = bit(f0) + 2 * bit(f1) + 4 * bit(f2)
         contexts.append(F.struct(F.lit(child).alias("child"), (faces * 4 + bit(e0) + bit(e1) + bit(e2)).alias("parent_ctx")))
-    return masked.withColumn("c", F.explode(F.array(*contexts))).select("node", "occupancy", F.col("c.child").alias("child"), F.col("c.parent_ctx").alias("parent_ctx"))
+    return masked.withColumn("c", F.explode(F.array(*contexts))).select("level", "node", "occupancy", F.col("c.child").alias("child"), F.col("c.parent_ctx").alias("parent_ctx"))
 
 
 def siblings(nodes: DataFrame, offsets: dict[str, tuple[int, int, int]]) -> DataFrame:
     """Adds for each name the occupancy of the node at that offset, 0 where there is none."""
-    out = with_cell(nodes)
-    known = nodes.select(F.col("node").alias("__other"), F.col("occupancy").alias("__occ"))
+    out = nodes
+    known = nodes.select("level", F.col("node").alias("__other"), F.col("occupancy").alias("__occ"))
     for name, d in offsets.items():
         own = known.withColumnsRenamed({"__occ": name})
-        out = out.withColumn("__other", moved(*d)).join(own, "__other", "left").drop("__other")
+        out = out.withColumn("__other", moved(*d)).join(own, ["level", "__other"], "left").drop("__other")
         out = out.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
     return out
 
@@ -80,7 +94,7 @@ def causal_context(nodes: DataFrame) -> DataFrame:
     for child in range(8):
         parts = [bit("occupancy", child - w) if child & w else bit(p, child + w) for w, p in ((4, "px"), (2, "py"), (1, "pz"))]
         rows.append(F.struct(F.lit(child).alias("child"), (parts[0] + 2 * parts[1] + 4 * parts[2]).alias("child_ctx"), bit("occupancy", child).alias("bit")))
-    return around.withColumn("c", F.explode(F.array(*rows))).select("node", "occupancy", "c.*")
+    return around.withColumn("c", F.explode(F.array(*rows))).select("level", "node", "occupancy", "c.*")
 
 
 #: Per child the bits of childX, childY, childZ, leanX, leanY, leanZ and the corner: (neighbour or "u" for the node itself, bit).
@@ -115,7 +129,7 @@ def plane_context(nodes: DataFrame) -> DataFrame:
         face, extern = b[0] + 2 * b[1] + 4 * b[2], 2 * (b[3] + 2 * b[4] + 4 * b[5]) + b[6]
         ctx = F.when((face == 0) & (extern == 0), ahead + 8 * child).otherwise(64 + 8 * extern + face).cast("long")
         rows.append(F.struct(F.lit(child).alias("child"), face.alias("face"), extern.alias("extern"), bit(("u", child)).alias("bit"), ctx.alias("ctx")))
-    return around.withColumn("c", F.explode(F.array(*rows))).select("node", "c.*")
+    return around.withColumn("c", F.explode(F.array(*rows))).select("level", "node", "c.*")
 
 
 def entropy_bits(counts: DataFrame, by: list[str]) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.columns import hilbert3, morton3, norm_l1
 
-BITS = 8
 SHIFT = 42
 #: Candidate cells in order: one axis back (weight 2), then two axes back (weight 1).
 COLOR_STEPS = ((-1, 0, 0, 2), (0, -1, 0, 2), (0, 0, -1, 2), (-1, -1, 0, 1), (-1, 0, -1, 1), (0, -1, -1, 1))
@@ -32,7 +31,7 @@ def hilbert_ranked(points: DataFrame, bits: int, name: str = "pos") -> DataFrame
 
 def shifted_rank(points: DataFrame, name: str = "pos2") -> DataFrame:
     """Position in the order of codes shifted by 42 on every axis."""
-    code = morton3(F.col("x") + SHIFT, F.col("y") + SHIFT, F.col("z") + SHIFT, BITS)
+    code = morton3(F.col("x") + SHIFT, F.col("y") + SHIFT, F.col("z") + SHIFT)
     return points.withColumn(name, F.row_number().over(W.partitionBy("slice_id").orderBy(code, "point_id")).cast("long") - 1)
 
 

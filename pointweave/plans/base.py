@@ -34,19 +34,19 @@ def sql_hilbert(source: str, bits: int) -> str:
 SQL_STEPS = {
     "pc": SQL_CLOUD,
     "sc": SQL_SIGNED,
-    "first": "first AS (SELECT * FROM pc QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY point_id) = 1)",
-    "coded": f"coded AS (SELECT *, {sql_morton('x', 'y', 'z', BITS)} AS code FROM first)",
+    "first": "first AS MATERIALIZED (SELECT * FROM pc QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY point_id) = 1)",
+    "coded": f"coded AS MATERIALIZED (SELECT *, {sql_morton('x', 'y', 'z', BITS)} AS code FROM first)",
     "span": "span AS (SELECT min(code) AS lo, max(code) AS hi FROM coded)",
     "shift": f"shift AS (SELECT min(m) AS m FROM range(64) t(m), span WHERE (hi >> m) - (lo >> m) < {SLICES})",
     "sliced": "sliced AS (SELECT coded.*, dense_rank() OVER (ORDER BY code >> m) - 1 AS slice_id FROM coded, shift)",
-    "ordered": "ordered AS (SELECT *, row_number() OVER (PARTITION BY slice_id ORDER BY code, point_id) - 1 AS pos FROM sliced)",
-    "hordered": f"hordered AS (SELECT *, row_number() OVER (PARTITION BY slice_id ORDER BY hilbert, point_id) - 1 AS pos FROM ({sql_hilbert('sliced', BITS)}))",
-    "lossy": """lossy AS (SELECT x, y, z, least(greatest(CAST(round(r / w) AS BIGINT), 0), 255) AS r, least(greatest(CAST(round(g / w) AS BIGINT), 0), 255) AS g,
+    "ordered": "ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY slice_id ORDER BY code, point_id) - 1 AS pos FROM sliced)",
+    "hordered": f"hordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY slice_id ORDER BY hilbert, point_id) - 1 AS pos FROM ({sql_hilbert('sliced', BITS)}))",
+    "lossy": """lossy AS MATERIALIZED (SELECT x, y, z, least(greatest(CAST(round(r / w) AS BIGINT), 0), 255) AS r, least(greatest(CAST(round(g / w) AS BIGINT), 0), 255) AS g,
  least(greatest(CAST(round(b / w) AS BIGINT), 0), 255) AS b, least(greatest(CAST(round(refl / w) AS BIGINT), 0), 32767) AS refl FROM (
  SELECT x, y, z, sum(w) AS w, sum(w * r) AS r, sum(w * g) AS g, sum(w * b) AS b, sum(w * refl) AS refl FROM (
  SELECT CAST(round(x / 4.0) AS BIGINT) AS x, CAST(round(y / 4.0) AS BIGINT) AS y, CAST(round(z / 4.0) AS BIGINT) AS z, r, g, b, refl,
  CAST(round(1024 / (0.1 + (abs(x - round(x / 4.0) * 4.0) + abs(y - round(y / 4.0) * 4.0) + abs(z - round(z / 4.0) * 4.0)) / 4.0)) AS BIGINT) AS w FROM pc) GROUP BY x, y, z))""",
-    "nodes": "nodes AS (" + " UNION ALL ".join(f"SELECT {v} AS level, code >> {3 * (v + 1)} AS node, CAST(bit_or(1 << CAST((code >> {3 * v}) & 7 AS INTEGER)) AS BIGINT) AS occupancy FROM coded GROUP BY ALL" for v in range(DEPTH)) + ")",
+    "nodes": "nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {v} AS level, code >> {3 * (v + 1)} AS node, CAST(bit_or(1 << CAST((code >> {3 * v}) & 7 AS INTEGER)) AS BIGINT) AS occupancy FROM coded GROUP BY ALL" for v in range(DEPTH)) + ")",
 }
 NEEDS = {"first": ["pc"], "coded": ["first"], "span": ["coded"], "shift": ["span"], "sliced": ["coded", "shift"], "ordered": ["sliced"], "hordered": ["sliced"], "lossy": ["pc"], "nodes": ["coded"]}
 

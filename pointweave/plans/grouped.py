@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import columns as C
 from pointweave.operators import contexts, groups, kernels, splits
+from pointweave.operators.cuts import Written
 from pointweave.plans.base import BITS, DEPTH, first_points, lossy, point_cloud, query, signed_cloud, sliced, sql_morton
 
-LEVEL = 1
 SIDES = ", ".join(f"{f}({c}) AS {f}_{c}" for c in "xyz" for f in ("min", "max"))
 
 
@@ -164,14 +164,15 @@ def except_flagged(spark, d):
 
 
 def level_nodes(spark, d):
-    return groups.octree_level(first_points(spark, d), LEVEL).select("node", "occupancy")
+    """The nodes of all levels, written once: every context query meets them several times."""
+    return Written(groups.octree(first_points(spark, d), DEPTH).select("level", "node", "occupancy"), "nodes").df
 
 
 def _sql_unmorton(c: str, place: int) -> str:
     return "(" + " + ".join(f"((({c} >> {3 * i + place}) & 1) << {i})" for i in range(8)) + ")"
 
 
-N = f"""n AS (SELECT node, occupancy, {_sql_unmorton('node', 2)} AS x, {_sql_unmorton('node', 1)} AS y, {_sql_unmorton('node', 0)} AS z FROM nodes WHERE level = {LEVEL})"""
+N = f"""n AS MATERIALIZED (SELECT CAST(level AS BIGINT) AS level, node, occupancy, {_sql_unmorton('node', 2)} AS x, {_sql_unmorton('node', 1)} AS y, {_sql_unmorton('node', 0)} AS z FROM nodes)"""
 
 
 def _with_n(body: str, more: str = "") -> str:
@@ -181,61 +182,65 @@ def _with_n(body: str, more: str = "") -> str:
 
 _OFFSETS = ", ".join(f"({i}, {a}, {b}, {c})" for i, (a, b, c) in ((i, contexts.BLOCK[i]) for i in contexts.FACES_AND_EDGES))
 _MASK = f""", o(i, dx, dy, dz) AS (VALUES {_OFFSETS}),
-hit AS (SELECT a.node, CAST(bit_or(1 << o.i) AS BIGINT) AS mask FROM n a, o, n b WHERE b.x = a.x + o.dx AND b.y = a.y + o.dy AND b.z = a.z + o.dz GROUP BY a.node),
-masked AS (SELECT n.node, occupancy, coalesce(mask, 0) AS mask FROM n LEFT JOIN hit USING (node))"""
+hit AS (SELECT a.level, a.node, CAST(bit_or(1 << i) AS BIGINT) AS mask FROM (SELECT level, node, i, x + dx AS x, y + dy AS y, z + dz AS z FROM n, o) a JOIN n b USING (level, x, y, z) GROUP BY a.level, a.node),
+masked AS (SELECT n.level, n.node, occupancy, coalesce(mask, 0) AS mask FROM n LEFT JOIN hit USING (level, node))"""
 
 
-@query("ctx_parent18", "nodes", _with_n("SELECT node, mask FROM masked", _MASK))
+@query("ctx_parent18", "nodes", _with_n("SELECT level, node, mask FROM masked", _MASK))
 def ctx_parent18(spark, d):
-    return contexts.neighbour_mask(level_nodes(spark, d)).select("node", "mask")
+    return contexts.neighbour_mask(level_nodes(spark, d)).select("level", "node", "mask")
 
 
 _CHILDREN = ", ".join(f"({c}, {', '.join(map(str, v))})" for c, v in enumerate(contexts.CHILD_NEIGHBOURS))
 _PARENT = _MASK + f""", k(child, f0, f1, f2, e0, e1, e2) AS (VALUES {_CHILDREN}),
-pctx AS (SELECT node, occupancy, child, (((mask >> f0) & 1) + 2 * ((mask >> f1) & 1) + 4 * ((mask >> f2) & 1)) * 4 + ((mask >> e0) & 1) + ((mask >> e1) & 1) + ((mask >> e2) & 1) AS parent_ctx FROM masked, k)"""
+pctx AS (SELECT level, node, occupancy, child, (((mask >> f0) & 1) + 2 * ((mask >> f1) & 1) + 4 * ((mask >> f2) & 1)) * 4 + ((mask >> e0) & 1) + ((mask >> e1) & 1) + ((mask >> e2) & 1) AS parent_ctx FROM masked, k)"""
 
 
-@query("ctx_parent_child", "nodes", _with_n("SELECT node, CAST(child AS INTEGER) AS child, parent_ctx FROM pctx", _PARENT))
+@query("ctx_parent_child", "nodes", _with_n("SELECT level, node, CAST(child AS INTEGER) AS child, parent_ctx FROM pctx", _PARENT))
 def ctx_parent_child(spark, d):
-    return contexts.parent_child_context(contexts.neighbour_mask(level_nodes(spark, d))).select("node", "child", "parent_ctx")
+    return contexts.parent_child_context(contexts.neighbour_mask(level_nodes(spark, d))).select("level", "node", "child", "parent_ctx")
 
 
-_SIBLING = """, cells AS (SELECT node, occupancy, child, x * 2 + (child >> 2) AS cx, y * 2 + ((child >> 1) & 1) AS cy, z * 2 + (child & 1) AS cz, (occupancy >> child) & 1 AS bit FROM n, range(8) t(child)),
-cctx AS (SELECT a.node, a.occupancy, a.child, a.bit, coalesce(p.bit, 0) + 2 * coalesce(q.bit, 0) + 4 * coalesce(s.bit, 0) AS child_ctx FROM cells a
- LEFT JOIN cells p ON p.cx = a.cx - 1 AND p.cy = a.cy AND p.cz = a.cz LEFT JOIN cells q ON q.cx = a.cx AND q.cy = a.cy - 1 AND q.cz = a.cz LEFT JOIN cells s ON s.cx = a.cx AND s.cy = a.cy AND s.cz = a.cz - 1)"""
+#: Per child and axis, where the child before it lies: in the node itself or in its neighbour on that axis.
+_BESIDE = ", ".join(f"({c}, {', '.join(f'{int(bool(c & w))}, {c ^ w}' for w in (4, 2, 1))})" for c in range(8))
+_SIBLING = f""", beside(child, ix, cx, iy, cy, iz, cz) AS (VALUES {_BESIDE}),
+cctx AS (SELECT a.level, a.node, a.occupancy, child, (a.occupancy >> child) & 1 AS bit, ((CASE WHEN ix = 1 THEN a.occupancy ELSE coalesce(p.occupancy, 0) END >> cx) & 1)
+ + 2 * ((CASE WHEN iy = 1 THEN a.occupancy ELSE coalesce(q.occupancy, 0) END >> cy) & 1) + 4 * ((CASE WHEN iz = 1 THEN a.occupancy ELSE coalesce(s.occupancy, 0) END >> cz) & 1) AS child_ctx
+ FROM n a LEFT JOIN n p ON p.level = a.level AND p.x = a.x - 1 AND p.y = a.y AND p.z = a.z LEFT JOIN n q ON q.level = a.level AND q.x = a.x AND q.y = a.y - 1 AND q.z = a.z
+ LEFT JOIN n s ON s.level = a.level AND s.x = a.x AND s.y = a.y AND s.z = a.z - 1, beside)"""
 
 
-@query("ctx_sibling", "nodes", _with_n("SELECT node, CAST(child AS INTEGER) AS child, child_ctx, bit FROM cctx", _SIBLING))
+@query("ctx_sibling", "nodes", _with_n("SELECT level, node, CAST(child AS INTEGER) AS child, child_ctx, bit FROM cctx", _SIBLING))
 def ctx_sibling(spark, d):
-    return contexts.causal_context(level_nodes(spark, d)).select("node", "child", "child_ctx", "bit")
+    return contexts.causal_context(level_nodes(spark, d)).select("level", "node", "child", "child_ctx", "bit")
 
 
-@query("context_counts", "nodes", _with_n("SELECT parent_ctx * 8 + child_ctx AS ctx, CAST(count(*) AS BIGINT) AS n, CAST(sum(bit) AS BIGINT) AS ones FROM pctx JOIN cctx USING (node, child) GROUP BY ALL", _PARENT + _SIBLING))
+@query("context_counts", "nodes", _with_n("SELECT level, parent_ctx * 8 + child_ctx AS ctx, CAST(count(*) AS BIGINT) AS n, CAST(sum(bit) AS BIGINT) AS ones FROM pctx JOIN cctx USING (level, node, child) GROUP BY ALL", _PARENT + _SIBLING))
 def context_counts(spark, d):
-    """Occupancy bins of mode 0 per context."""
+    """Occupancy bins of mode 0 per level and context."""
     nodes = level_nodes(spark, d)
-    parent = contexts.parent_child_context(contexts.neighbour_mask(nodes)).select("node", "child", "parent_ctx")
-    own = contexts.causal_context(nodes).select("node", "child", "child_ctx", "bit")
-    return parent.join(own, ["node", "child"]).groupBy((F.col("parent_ctx") * 8 + F.col("child_ctx")).alias("ctx")).agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
+    parent = contexts.parent_child_context(contexts.neighbour_mask(nodes)).select("level", "node", "child", "parent_ctx")
+    own = contexts.causal_context(nodes).select("level", "node", "child", "child_ctx", "bit")
+    return parent.join(own, ["level", "node", "child"]).groupBy("level", (F.col("parent_ctx") * 8 + F.col("child_ctx")).alias("ctx")).agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
 
 
-_AHEAD_SQL = "SELECT a.node, CAST(p.node IS NOT NULL AS BIGINT) + 2 * CAST(q.node IS NOT NULL AS BIGINT) + 4 * CAST(s.node IS NOT NULL AS BIGINT) AS ctx FROM n a LEFT JOIN n p ON p.x = a.x + 1 AND p.y = a.y AND p.z = a.z LEFT JOIN n q ON q.x = a.x AND q.y = a.y + 1 AND q.z = a.z LEFT JOIN n s ON s.x = a.x AND s.y = a.y AND s.z = a.z + 1"
+_AHEAD_SQL = "SELECT a.level, a.node, CAST(p.node IS NOT NULL AS BIGINT) + 2 * CAST(q.node IS NOT NULL AS BIGINT) + 4 * CAST(s.node IS NOT NULL AS BIGINT) AS ctx FROM n a LEFT JOIN n p ON p.level = a.level AND p.x = a.x + 1 AND p.y = a.y AND p.z = a.z LEFT JOIN n q ON q.level = a.level AND q.x = a.x AND q.y = a.y + 1 AND q.z = a.z LEFT JOIN n s ON s.level = a.level AND s.x = a.x AND s.y = a.y AND s.z = a.z + 1"
 
 
 @query("ctx_mode1_parent3", "nodes", _with_n(_AHEAD_SQL))
 def ctx_mode1_parent3(spark, d):
     around = contexts.siblings(level_nodes(spark, d), {"a": (1, 0, 0), "b": (0, 1, 0), "c": (0, 0, 1)})
     some = lambda c: F.when(F.col(c) > 0, 1).otherwise(0).cast("long")
-    return around.select("node", (some("a") + 2 * some("b") + 4 * some("c")).alias("ctx"))
+    return around.select("level", "node", (some("a") + 2 * some("b") + 4 * some("c")).alias("ctx"))
 
 
-_PLANE_JOINS = " ".join(f"LEFT JOIN n {k} ON {k}.x = a.x + ({v[0]}) AND {k}.y = a.y + ({v[1]}) AND {k}.z = a.z + ({v[2]})" for k, v in contexts.PLANES.items())
-_PLANE_SQL = "SELECT a.node, " + ", ".join(f"coalesce({k}.occupancy, 0) AS {k}" for k in contexts.PLANES) + f" FROM n a {_PLANE_JOINS}"
+_PLANE_JOINS = " ".join(f"LEFT JOIN n {k} ON {k}.level = a.level AND {k}.x = a.x + ({v[0]}) AND {k}.y = a.y + ({v[1]}) AND {k}.z = a.z + ({v[2]})" for k, v in contexts.PLANES.items())
+_PLANE_SQL = "SELECT a.level, a.node, " + ", ".join(f"coalesce({k}.occupancy, 0) AS {k}" for k in contexts.PLANES) + f" FROM n a {_PLANE_JOINS}"
 
 
 @query("ctx_mode1_planes", "nodes", _with_n(_PLANE_SQL))
 def ctx_mode1_planes(spark, d):
-    return contexts.siblings(level_nodes(spark, d), contexts.PLANES).select("node", *contexts.PLANES)
+    return contexts.siblings(level_nodes(spark, d), contexts.PLANES).select("level", "node", *contexts.PLANES)
 
 
 def _bit(s) -> str:
@@ -243,24 +248,24 @@ def _bit(s) -> str:
 
 
 _CHILD_SQL = " UNION ALL ".join(
-    f"SELECT a.node, {c} AS child, {_bit(s[0])} + 2 * {_bit(s[1])} + 4 * {_bit(s[2])} AS face, 2 * ({_bit(s[3])} + 2 * {_bit(s[4])} + 4 * {_bit(s[5])}) + {_bit(s[6])} AS extern, (a.occupancy >> {c}) & 1 AS bit FROM n a {_PLANE_JOINS}"
+    f"SELECT a.level, a.node, {c} AS child, {_bit(s[0])} + 2 * {_bit(s[1])} + 4 * {_bit(s[2])} AS face, 2 * ({_bit(s[3])} + 2 * {_bit(s[4])} + 4 * {_bit(s[5])}) + {_bit(s[6])} AS extern, (a.occupancy >> {c}) & 1 AS bit FROM n a {_PLANE_JOINS}"
     for c, s in contexts.CHILD_SOURCES.items()
 )
 
 
 @query("ctx_mode1_child", "nodes", _with_n(_CHILD_SQL))
 def ctx_mode1_child(spark, d):
-    return contexts.plane_context(level_nodes(spark, d)).select("node", "child", "face", "extern", "bit")
+    return contexts.plane_context(level_nodes(spark, d)).select("level", "node", "child", "face", "extern", "bit")
 
 
 _CTX1 = "CASE WHEN face = 0 AND extern = 0 THEN child * 8 + ctx ELSE 64 + 8 * extern + face END"
 
 
-@query("context_counts_mode1", "nodes", _with_n(f"SELECT CAST({_CTX1} AS BIGINT) AS context, CAST(count(*) AS BIGINT) AS n, CAST(sum(bit) AS BIGINT) AS ones FROM ({_CHILD_SQL}) JOIN ({_AHEAD_SQL}) USING (node) GROUP BY ALL"))
+@query("context_counts_mode1", "nodes", _with_n(f"SELECT level, CAST({_CTX1} AS BIGINT) AS context, CAST(count(*) AS BIGINT) AS n, CAST(sum(bit) AS BIGINT) AS ones FROM ({_CHILD_SQL}) JOIN ({_AHEAD_SQL}) USING (level, node) GROUP BY ALL"))
 def context_counts_mode1(spark, d):
-    """Occupancy bins of mode 1 per context."""
+    """Occupancy bins of mode 1 per level and context."""
     bins = contexts.plane_context(level_nodes(spark, d))
-    return bins.groupBy(F.col("ctx").alias("context")).agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
+    return bins.groupBy("level", F.col("ctx").alias("context")).agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
 
 
 #: The fold of a context's bins, its state packed as surprises, probable, cycle, level.
@@ -271,17 +276,17 @@ _ADAPT = f"""CASE WHEN b = {_PROBABLE} THEN {_LEVEL} - ({_LEVEL} >> {_RATE}) - (
  ELSE {_UP} + (least({_CYCLE} + 1, 3) << 11) + ({_PROBABLE} << 13) + (({_SURPRISES} + 1) << 14) END"""
 _ADAPTED = f"""SELECT slice_id, ctx, {_LEVEL} AS level, {_CYCLE} AS cycle, {_PROBABLE} AS probable, {_SURPRISES} AS surprises FROM (
  SELECT slice_id, ctx, list_reduce(list_prepend(CAST({kernels.ADAPT_START} AS BIGINT), list(CAST(bit AS BIGINT) ORDER BY node, child)), lambda s, b: CAST({_ADAPT} AS BIGINT)) AS s FROM (
- SELECT node >> 9 AS slice_id, parent_ctx * 8 + child_ctx AS ctx, node, child, bit FROM pctx JOIN cctx USING (node, child)) GROUP BY slice_id, ctx)"""
+ SELECT (level << 32) + (node >> 9) AS slice_id, parent_ctx * 8 + child_ctx AS ctx, node, child, bit FROM pctx JOIN cctx USING (level, node, child)) GROUP BY slice_id, ctx)"""
 
 
 @query("ctx_adapt", "nodes", _with_n(_ADAPTED, _PARENT + _SIBLING))
 def ctx_adapt(spark, d):
-    """Adaptive bin models of mode 0 after each slice of 512 node places."""
+    """Adaptive bin models of mode 0 after each slice of 512 node places of a level; the level is the slice's high part."""
     nodes = level_nodes(spark, d)
-    parent = contexts.parent_child_context(contexts.neighbour_mask(nodes)).select("node", "child", "parent_ctx")
-    own = contexts.causal_context(nodes).select("node", "child", "child_ctx", "bit")
-    bins = parent.join(own, ["node", "child"])
-    return kernels.adapt_contexts(bins.select(F.shiftright("node", 9).alias("slice_id"), (F.col("parent_ctx") * 8 + F.col("child_ctx")).cast("long").alias("ctx"), (F.col("node") * 8 + F.col("child")).alias("pos"), "bit"))
+    parent = contexts.parent_child_context(contexts.neighbour_mask(nodes)).select("level", "node", "child", "parent_ctx")
+    own = contexts.causal_context(nodes).select("level", "node", "child", "child_ctx", "bit")
+    bins = parent.join(own, ["level", "node", "child"])
+    return kernels.adapt_contexts(bins.select((F.shiftleft("level", 32) + F.shiftright("node", 9)).alias("slice_id"), (F.col("parent_ctx") * 8 + F.col("child_ctx")).cast("long").alias("ctx"), (F.col("node") * 8 + F.col("child")).alias("pos"), "bit"))
 
 
 #: A box that is no cube, its first partial levels and the side from which levels are partial again.
@@ -314,27 +319,38 @@ def qtbt_octree(spark, d):
     return splits.split_octree(point_cloud(spark, d), _LEVELS)
 
 
-@query("occ_lookup", "nodes", _with_n("SELECT q.node, coalesce(n.occupancy, 0) AS occupancy FROM (SELECT DISTINCT code >> 5 AS node FROM coded) q LEFT JOIN n USING (node)"))
+_HALVES = ", ".join(f"({v}, {3 * v + 2})" for v in range(DEPTH))
+
+
+@query("occ_lookup", "nodes", _with_n(f"SELECT q.level, q.node, coalesce(n.occupancy, 0) AS occupancy FROM (SELECT DISTINCT CAST(v AS BIGINT) AS level, code >> m AS node FROM coded, (VALUES {_HALVES}) t(v, m)) q LEFT JOIN n USING (level, node)"))
 def occ_lookup(spark, d):
-    asked = first_points(spark, d).select(F.shiftright("code", 5).alias("node")).distinct()
-    return asked.join(level_nodes(spark, d), "node", "left").select("node", F.coalesce("occupancy", F.lit(0).cast("long")).alias("occupancy"))
+    """Occupancy of asked places on every level, 0 where no node is; the places are codes cut one bit short, so that some are empty."""
+    halves = F.explode(F.array(*[F.struct(F.lit(v).cast("long").alias("level"), F.shiftright("code", 3 * v + 2).alias("node")) for v in range(DEPTH)]))
+    asked = first_points(spark, d).select(halves.alias("q")).select("q.*").distinct()
+    return asked.join(level_nodes(spark, d), ["level", "node"], "left").select("level", "node", F.coalesce("occupancy", F.lit(0).cast("long")).alias("occupancy"))
 
 
-@query("child_occ_lookup", "nodes", _with_n("SELECT x * 2 + 1 AS cx, y * 2 AS cy, z * 2 + 1 AS cz, ((occupancy >> 5) & 1) = 1 AS occupied FROM n"))
+@query("child_occ_lookup", "nodes", _with_n("SELECT level, x * 2 + (c >> 2) AS cx, y * 2 + ((c >> 1) & 1) AS cy, z * 2 + (c & 1) AS cz, ((occupancy >> c) & 1) = 1 AS occupied FROM n, range(8) t(c)"))
 def child_occ_lookup(spark, d):
-    cells = contexts.with_cell(level_nodes(spark, d))
-    return cells.select((F.col("x") * 2 + 1).alias("cx"), (F.col("y") * 2).alias("cy"), (F.col("z") * 2 + 1).alias("cz"), (F.shiftright("occupancy", 5).bitwiseAND(F.lit(1)) == 1).alias("occupied"))
+    cells = contexts.with_cell(level_nodes(spark, d)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    bit = lambda w: F.shiftright("c", w).bitwiseAND(F.lit(1))
+    places = [(F.col(a) * 2 + bit(w)).alias(f"c{a}") for a, w in (("x", 2), ("y", 1), ("z", 0))]
+    return cells.select("level", *places, (F.call_function("shiftright", F.col("occupancy"), F.col("c")).bitwiseAND(F.lit(1)) == 1).alias("occupied"))
+
 
+_HELD = " UNION ALL ".join(f"SELECT CAST({v} AS BIGINT) AS level, code >> {3 * (v + 1)} AS node, count(*) AS n FROM coded GROUP BY ALL" for v in range(DEPTH))
 
-@query("occ_insert", "nodes", f"SELECT a.node, CASE WHEN k.n = 1 THEN 0 ELSE a.occupancy END AS occupancy FROM nodes a JOIN (SELECT code >> {3 * (LEVEL + 1)} AS node, count(*) AS n FROM coded GROUP BY ALL) k USING (node) WHERE level = {LEVEL}")
+
+@query("occ_insert", "nodes", f"SELECT CAST(a.level AS BIGINT) AS level, a.node, CASE WHEN k.n = 1 THEN 0 ELSE a.occupancy END AS occupancy FROM nodes a JOIN ({_HELD}) k ON k.level = a.level AND k.node = a.node")
 def occ_insert(spark, d):
     """A node of a single point is recorded with occupancy 0."""
-    count = first_points(spark, d).groupBy(F.shiftright("code", 3 * (LEVEL + 1)).alias("node")).agg(F.count("*").alias("n"))
-    return level_nodes(spark, d).join(count, "node").select("node", F.when(F.col("n") == 1, 0).otherwise(F.col("occupancy")).alias("occupancy"))
+    held = F.explode(F.array(*[F.struct(F.lit(v).cast("long").alias("level"), F.shiftright("code", 3 * (v + 1)).alias("node")) for v in range(DEPTH)]))
+    count = first_points(spark, d).select(held.alias("h")).groupBy("h.level", "h.node").agg(F.count("*").alias("n"))
+    return level_nodes(spark, d).join(count, ["level", "node"]).select("level", "node", F.when(F.col("n") == 1, 0).otherwise(F.col("occupancy")).alias("occupancy"))
 
 
 @query("history_swap", "nodes", "SELECT CAST(a.level AS BIGINT) AS level, a.node, b.occupancy AS parent_occupancy FROM nodes a JOIN nodes b ON b.level = a.level + 1 AND b.node = a.node >> 3")
 def history_swap(spark, d):
-    nodes = groups.octree(first_points(spark, d), DEPTH)
+    nodes = level_nodes(spark, d)
     parents = nodes.select((F.col("level") - 1).alias("level"), F.col("node").alias("parent"), F.col("occupancy").alias("parent_occupancy"))
     return nodes.withColumn("parent", F.shiftright("node", 3)).join(parents, ["level", "parent"]).select("level", "node", "parent_occupancy")
