@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from pointweave.functions.columns import hilbert3, morton3, norm_l1
 
 SHIFT = 42
+#: Positions of a stretch, which bounds a task; a key beyond every distance.
+CHUNK, FAR = 65_536, np.int64(1) << 62
 #: Candidate cells in order: one axis back (weight 2), then two axes back (weight 1).
 COLOR_STEPS = ((-1, 0, 0, 2), (0, -1, 0, 2), (0, 0, -1, 2), (-1, -1, 0, 1), (-1, 0, -1, 1), (0, -1, -1, 1))
 
@@ -65,22 +69,48 @@ def inverse_distance(neighbours: Column) -> Column:
     """Prediction from three (distance, value) structs in product form with integer division; zero distances are averaged."""
     w = [F.get(neighbours, F.lit(i))["d"] for i in range(3)]
     v = [F.get(neighbours, F.lit(i))["v"] for i in range(3)]
+    # Integer division: a double's would be wrong past 2 ** 53.
     over = w[1] * w[2] * v[0] + w[0] * w[2] * v[1] + w[0] * w[1] * v[2]
     under = w[0] * w[1] + w[1] * w[2] + w[0] * w[2]
     zeros = reduce(lambda a, b: a + b, [F.when(d == 0, x).otherwise(0) for d, x in zip(w, v)])
     count = reduce(lambda a, b: a + b, [F.when(d == 0, 1).otherwise(0) for d in w])
-    whole = lambda a, b: F.floor(a / F.when(b != 0, b)).cast("long")
+    whole = lambda a, b: F.call_function("div", a.cast("long"), F.when(b != 0, b).cast("long"))
     return F.when(under > 0, whole(over, under)).otherwise(whole(zeros, count))
 
 
 def previous_nearest(points: DataFrame, reach: int = 128, k: int = 3) -> DataFrame:
-    """near: the k nearest (L1) of the previous ``reach`` points as (d, back, v), nearer ones and then later ones first."""
-    window = W.partitionBy("slice_id").orderBy("pos").rowsBetween(-reach, -1)
-    seen = F.collect_list(F.struct("x", "y", "z", "pos", F.col("refl").alias("v"))).over(window)
-    rows = points.withColumn("seen", seen)
-    apart = lambda s: norm_l1(*[F.col(c) - s[c] for c in "xyz"])
-    near = F.transform("seen", lambda s: F.struct(apart(s).alias("d"), (F.col("pos") - s["pos"]).alias("back"), s["v"].alias("v")))
-    return rows.withColumn("near", F.slice(F.array_sort(near), 1, k)).drop("seen")
+    """near: the k nearest (L1) of the previous ``reach`` points as (d, back, v), nearer ones and then later ones first.
+
+    Stretches of CHUNK positions are tasks of their own; the last ``reach`` points before a stretch are dealt to it too.
+    """
+    own = F.floor(F.col("pos") / CHUNK)
+    ahead = F.when(F.col("pos") % CHUNK >= CHUNK - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = points.select("slice_id", "pos", "x", "y", "z", "refl", F.explode(ahead).alias("chunk"))
+    schema = "slice_id long, pos long, near array<struct<d:long,back:long,v:long>>"
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        pos, x, y, z, refl = (rows[c].to_numpy().astype(np.int64) for c in ("pos", "x", "y", "z", "refl"))
+        begin = int(np.searchsorted(pos, rows["chunk"][0].as_py() * CHUNK))
+        parts = []
+        for at in range(begin, len(pos), 4096):
+            here = np.arange(at, min(at + 4096, len(pos)))
+            before = here[:, None] - np.arange(1, reach + 1)
+            there = np.maximum(before, 0)
+            apart = sum(np.abs(c[here, None] - c[there]) for c in (x, y, z))
+            keys = np.where(before >= 0, apart * (reach + 1) + np.arange(1, reach + 1), FAR)  # distance, then places back
+            best = np.sort(np.partition(keys, k - 1, axis=1)[:, :k], axis=1)
+            fine = best < FAR
+            d, back = best[fine] // (reach + 1), best[fine] % (reach + 1)
+            value = refl[np.repeat(here, fine.sum(axis=1)) - back]
+            entries = pa.StructArray.from_arrays([pa.array(d), pa.array(back), pa.array(value)], names=["d", "back", "v"])
+            parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fine.sum(axis=1))]).astype(np.int32)), entries))
+        kept = rows.slice(begin)
+        near = pa.chunked_array(parts, type=pa.list_(pa.struct([("d", pa.int64()), ("back", pa.int64()), ("v", pa.int64())])))
+        return pa.table({"slice_id": kept["slice_id"].cast(pa.int64()), "pos": kept["pos"], "near": near})
+
+    near = dealt.groupBy("slice_id", "chunk").applyInArrow(run, schema)
+    return points.join(near, ["slice_id", "pos"])
 
 
 def predict_refl(points: DataFrame) -> DataFrame:

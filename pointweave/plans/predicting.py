@@ -116,10 +116,10 @@ def pred_refl_dual(spark, d):
     return near.select("slice_id", "pos", predict.inverse_distance(F.col("near")).cast("long").alias("pred_refl"))
 
 
-@query("topk_heap", "ordered", "SELECT slice_id, list(refl ORDER BY refl DESC)[1:3] AS top FROM ordered WHERE pos < 1000 GROUP BY slice_id")
+@query("topk_heap", "ordered", "SELECT slice_id, list(refl ORDER BY refl DESC)[1:3] AS top FROM ordered GROUP BY slice_id")
 def topk_heap(spark, d):
     best = W.partitionBy("slice_id").orderBy(F.desc("refl"), "pos")
-    top = ordered(spark, d).where("pos < 1000").withColumn("n", F.row_number().over(best)).where("n <= 3")
+    top = ordered(spark, d).withColumn("n", F.row_number().over(best)).where("n <= 3")
     return top.groupBy("slice_id").agg(F.reverse(F.array_sort(F.collect_list("refl"))).alias("top"))
 
 
@@ -141,24 +141,88 @@ def duplicate_bins(spark, d):
     return counts.groupBy((F.col("n") - 2).alias("escape")).agg(F.count("*").alias("cells"))
 
 
-@query("pred_refl_cache")
+@query("recon_refl", "ordered", "SELECT slice_id, pos, refl FROM ordered")
+def recon_refl(spark, d):
+    """Residuals put back on their predictions give the reflectances again."""
+    p = predict.predict_refl(ordered(spark, d))
+    coded = p.select("slice_id", "pos", "pred_refl", (F.col("refl") - F.col("pred_refl")).alias("residual"))
+    return coded.select("slice_id", "pos", (F.col("pred_refl") + F.col("residual")).alias("refl"))
+
+
+#: The cache as a list, oldest first, one point of every slice a step.
+_GAPS = "list_transform(cache, lambda c: abs(c - v[pos + 2]))"
+_CACHED = f"""SELECT * FROM (WITH RECURSIVE held AS MATERIALIZED (SELECT slice_id, list(refl ORDER BY pos) AS v FROM ordered GROUP BY slice_id),
+run(slice_id, pos, refl, cache_index, pred_refl, cache) AS (SELECT slice_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM held
+ UNION ALL SELECT slice_id, pos + 1, own, CAST(place - 1 AS INTEGER), coalesce(cache[place], 0),
+  CASE WHEN same > 0 THEN list_transform(cache, lambda c, i: CASE WHEN i = 1 THEN own WHEN i = same THEN cache[1] ELSE c END) WHEN len(cache) = {kernels.CACHE} THEN list_append(cache[2:], own) ELSE list_append(cache, own) END
+ FROM (SELECT r.slice_id, pos, cache, v[pos + 2] AS own, coalesce(list_position({_GAPS}, list_min({_GAPS})), 0) AS place, coalesce(list_position(cache, v[pos + 2]), 0) AS same FROM run r JOIN held h ON h.slice_id = r.slice_id WHERE pos + 1 < len(v)))
+SELECT slice_id, pos, refl, cache_index, pred_refl FROM run WHERE pos >= 0)"""
+
+
+@query("pred_refl_cache", "ordered", _CACHED)
 def pred_refl_cache(spark, d):
     return kernels.predict_refl_cache(ordered(spark, d))
 
 
-@query("cache_nearest")
+@query("cache_nearest", "ordered", f"SELECT cache_index, count(*) AS n FROM ({_CACHED}) GROUP BY cache_index")
 def cache_nearest(spark, d):
     return kernels.predict_refl_cache(ordered(spark, d)).groupBy("cache_index").agg(F.count("*").alias("n"))
 
 
+def refl_geometry(spark, d):
+    near = predict.previous_nearest(ordered(spark, d))
+    return near.withColumn("distances", F.transform("near", lambda n: n["d"])).withColumn("backs", F.transform("near", lambda n: n["back"]))
+
+
+def color_geometry(spark, d):
+    points = ordered(spark, d)
+    met = predict.color_neighbours(points).groupBy("slice_id", "pos").agg(F.array_sort(F.collect_list(F.struct("step", "weight", "npos"))).alias("near"))
+    none = F.array().cast("array<bigint>")
+    weights, places = F.transform("near", lambda n: n["weight"].cast("long")), F.transform("near", lambda n: n["npos"].cast("long"))
+    lists = [F.coalesce(weights, none).alias("weights"), F.coalesce(places, none).alias("places")]
+    return points.join(met, ["slice_id", "pos"], "left").select("slice_id", "pos", "r", "g", "b", *lists)
+
+
 @query("encode_refl")
 def encode_refl(spark, d):
-    return kernels.code_refl(ordered(spark, d), QP)
+    return kernels.code_refl(refl_geometry(spark, d), QP).select("slice_id", "pos", "refl", "coded", "recon")
 
 
 @query("decode_refl")
 def decode_refl(spark, d):
-    return kernels.decode_refl(kernels.code_refl(ordered(spark, d), QP), QP)
+    return kernels.decode_refl(kernels.code_refl(refl_geometry(spark, d), QP).drop("refl", "recon"), QP)
+
+
+@query("encode_refl_lossless", "ordered", f"SELECT * FROM (WITH {_REFL} SELECT slice_id, pos, refl - pred_refl AS coded, refl AS recon FROM guess)")
+def encode_refl_lossless(spark, d):
+    """At parameter 0 the sequential coder equals the windows over the input."""
+    return kernels.code_refl(refl_geometry(spark, d), 0).select("slice_id", "pos", "coded", "recon")
+
+
+@query("decode_refl_lossless", "ordered", "SELECT slice_id, pos, refl AS recon FROM ordered")
+def decode_refl_lossless(spark, d):
+    return kernels.decode_refl(kernels.code_refl(refl_geometry(spark, d), 0).drop("refl", "recon"), 0)
+
+
+@query("encode_color")
+def encode_color(spark, d):
+    return kernels.code_color(color_geometry(spark, d), QP).drop("weights", "places")
+
+
+@query("decode_color")
+def decode_color(spark, d):
+    return kernels.decode_color(kernels.code_color(color_geometry(spark, d), QP).drop("r", "g", "b"), QP)
+
+
+@query("encode_color_lossless", "ordered", f"SELECT * FROM (WITH {_PRED} SELECT slice_id, pos, r - pred_r AS d0, g - pred_g - (r - pred_r) AS d1, b - pred_b - (g - pred_g) AS d2 FROM pred)")
+def encode_color_lossless(spark, d):
+    """At parameter 0 the sequential coder equals the windows over the input."""
+    return kernels.code_color(color_geometry(spark, d), 0).select("slice_id", "pos", "d0", "d1", "d2")
+
+
+@query("decode_color_lossless", "ordered", "SELECT slice_id, pos, r, g, b FROM ordered")
+def decode_color_lossless(spark, d):
+    return kernels.decode_color(kernels.code_color(color_geometry(spark, d), 0).drop("r", "g", "b"), 0)
 
 
 @query("lod_layers")

@@ -35,7 +35,8 @@ def test_chunks():
 
 
 def test_kernels():
-    assert cache_values([5, 5, 7]) == [(0, 0), (0, 5), (0, 5)]
+    # The cache starts empty, new values go to its end, a known one changes places with the oldest.
+    assert cache_values([5, 5, 7, 6, 7, 5, 9], 3) == [(-1, 0), (0, 5), (0, 5), (0, 5), (1, 7), (1, 5), (1, 7)]
     import numpy as np
 
     layer = layers_of(np.array([[0, 0, 0], [1, 0, 0], [64, 0, 0]]), 3, 2)
