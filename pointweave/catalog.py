@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.plans import grouped, predicting, scalar, spatial  # noqa: F401  they register their queries
+from pointweave.plans import grouped, predicting, scalar, spatial, symbols  # noqa: F401  they register their queries
 from pointweave.plans.base import ORACLES, QUERIES
 
 flagship = spatial.flagship

@@ -129,3 +129,15 @@ def residual_stats(residuals: DataFrame, first: int = 512) -> DataFrame:
         F.sum(size).alias("total"), count(size == 0).alias("n0"), count(size == 1).alias("n1"), count(size == 2).alias("n2"),
         F.when(more > 0, F.floor(large / F.when(more > 0, more))).otherwise(0).cast("long").alias("mean_large"),
     )
+
+
+def lod_shift(points: DataFrame, shifts: range) -> DataFrame:
+    """(slice_id, shift) of points with code and pos; a slice without such a size gives no row."""
+    sizes = points.groupBy("slice_id").agg(F.greatest(F.floor(F.count("*") / 100), F.lit(1)).alias("step"))
+    rows = points.select("slice_id", "code", "pos", F.explode(F.array(*[F.lit(m).cast("long") for m in shifts])).alias("m")).join(F.broadcast(sizes), "slice_id")
+    asked = ((F.col("pos") > 0) & (F.col("pos") % F.col("step") == 0)).cast("long")
+    cell = F.call_function("shiftright", F.col("code"), (F.col("m") + 3).cast("int")).alias("cell")
+    cells = rows.groupBy("slice_id", "m", cell).agg(F.count("*").alias("n"), F.max((F.col("pos") == 0).cast("long")).alias("head"), F.sum(asked).alias("asked"))
+    others = F.sum(F.col("asked") * (F.col("n") - 1 - F.col("head")))
+    means = cells.groupBy("slice_id", "m").agg((others / F.when(F.sum("asked") > 0, F.sum("asked"))).alias("mean"))
+    return means.where("mean >= 1").groupBy("slice_id").agg((F.min("m") + 3).alias("shift"))

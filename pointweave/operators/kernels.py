@@ -7,6 +7,7 @@ import itertools
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pointweave.functions.columns import QUANT_MULTIPLIERS, QUANT_STEPS
@@ -176,7 +177,7 @@ def decode_color(symbols: DataFrame, qp: int) -> DataFrame:
 def layers_of(cells: np.ndarray, shift: int, layers: int) -> np.ndarray:
     """Layer of each point, points in order: a survivor flags every later point near it; the flagged make the layer."""
     layer = np.zeros(len(cells), dtype=np.int64)
-    rest = np.arange(len(cells))
+    rest, placed = np.arange(len(cells)), False
     for at in range(layers):
         if at == layers - 1 or len(rest) <= 1:
             layer[rest] = at
@@ -193,18 +194,21 @@ def layers_of(cells: np.ndarray, shift: int, layers: int) -> np.ndarray:
                         if j > i:
                             flagged[j] = True
         layer[rest[flagged]] = at
-        if flagged.any():
-            shift += 3
+        placed = placed or bool(flagged.any())
+        shift += 3 if placed else 0
         rest = rest[~flagged]
     return layer
 
 
-def lod_layers(points: DataFrame, shift: int = 3, layers: int = 4) -> DataFrame:
+def lod_layers(points: DataFrame, layers: int = 4) -> DataFrame:
+    """slice_id, pos, layer; points: slice_id, pos, x, y, z and the shift of their slice (null: 3)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        return pd.DataFrame({"slice_id": pdf["slice_id"], "pos": pdf["pos"], "layer": layers_of(pdf[["x", "y", "z"]].to_numpy(), shift, layers)})
+        return pd.DataFrame({"slice_id": pdf["slice_id"], "pos": pdf["pos"], "layer": layers_of(pdf[["x", "y", "z"]].to_numpy(), int(pdf["shift"].iloc[0]), layers)})
 
-    return points.select("slice_id", "pos", "x", "y", "z").groupBy("slice_id").applyInPandas(run, "slice_id long, pos long, layer long")
+    own = points.select("slice_id", "pos", "x", "y", "z", F.coalesce("shift", F.lit(3)).alias("shift"))
+    return own.groupBy("slice_id").applyInPandas(run, "slice_id long, pos long, layer long")
 
 
 #: Fixed values of the adaptive bin model: per number of less probable bins seen (3 and more alike) the rate and the step towards the middle.

@@ -113,17 +113,20 @@ def previous_nearest(points: DataFrame, reach: int = 128, k: int = 3) -> DataFra
     return points.join(near, ["slice_id", "pos"])
 
 
-def predict_refl(points: DataFrame) -> DataFrame:
-    """First 0, second the point before, third two points weighted with 16 times z, then three of the last 128."""
-    near = previous_nearest(points)
+def after_first_three(prediction: Column) -> Column:
+    """First 0, second the point before, third two points weighted with 16 times z, then the given prediction."""
     by = W.partitionBy("slice_id").orderBy("pos")
     lagged = lambda c, n: F.lag(c, n).over(by)
     weight = lambda n: F.abs(F.col("x") - lagged("x", n)) + F.abs(F.col("y") - lagged("y", n)) + 16 * F.abs(F.col("z") - lagged("z", n))
     w1, w2 = weight(1), weight(2)
     third = F.round((w2 * lagged("refl", 1) + w1 * lagged("refl", 2)) / F.when(w1 + w2 > 0, w1 + w2)).cast("long")
     # Cells are distinct, so both weights are never 0.
-    pred = F.when(F.col("pos") == 0, F.lit(0)).when(F.col("pos") == 1, lagged("refl", 1)).when(F.col("pos") == 2, third).otherwise(inverse_distance(F.col("near")))
-    return near.select("slice_id", "pos", "refl", pred.cast("long").alias("pred_refl"))
+    return F.when(F.col("pos") == 0, F.lit(0)).when(F.col("pos") == 1, lagged("refl", 1)).when(F.col("pos") == 2, third).otherwise(prediction).cast("long")
+
+
+def predict_refl(points: DataFrame) -> DataFrame:
+    """The three nearest of the last 128 points predict each from the fourth on."""
+    return previous_nearest(points).select("slice_id", "pos", "refl", after_first_three(inverse_distance(F.col("near"))).alias("pred_refl"))
 
 
 def dual_candidates(points: DataFrame) -> DataFrame:

@@ -85,7 +85,10 @@ def octree_leaf(spark, d):
     return point_cloud(spark, d).groupBy(C.morton3(*map(F.col, "xyz"), BITS).alias("code")).agg(F.min("point_id").alias("first_point"), F.count("*").alias("n"))
 
 
-@query("octree_single_point", "coded", f"""SELECT max(level) AS level, code FROM (SELECT v AS level, code, count(*) OVER (PARTITION BY v, code >> (3 * (v + 1))) AS n FROM coded, range({DEPTH - 1}) t(v)) WHERE n = 1 GROUP BY code""")
+SINGLE_SQL = f"""SELECT max(level) AS level, code FROM (SELECT v AS level, code, count(*) OVER (PARTITION BY v, code >> (3 * (v + 1))) AS n FROM coded, range({DEPTH - 1}) t(v)) WHERE n = 1 GROUP BY code"""
+
+
+@query("octree_single_point", "coded", SINGLE_SQL)
 def octree_single_point(spark, d):
     """The highest level at which a point is alone in its node; levels are grouped one by one, without exploding points."""
     cells = first_points(spark, d).select("code")
@@ -146,14 +149,23 @@ def topk_insert(spark, d):
     return top.groupBy("frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("refl", "point_id"))), lambda x: x["point_id"]).alias("ids"))
 
 
-@query("lod_shift", "coded", """SELECT CAST(s AS BIGINT) AS shift, sum(n * (n - 1) / 2) / sum(n) AS mean_neighbours FROM (SELECT s, code >> s AS cell, count(*) AS n FROM coded, range(0, 18, 3) t(s) GROUP BY ALL) GROUP BY s""")
+SHIFTS = range(0, 60, 3)
+_SAMPLED = f"""sized AS (SELECT slice_id, code, pos, greatest(count(*) OVER (PARTITION BY slice_id) // 100, 1) AS step FROM ordered),
+cell AS (SELECT slice_id, m, code >> CAST(m + 3 AS INTEGER) AS cell, count(*) AS n, max(CAST(pos = 0 AS INTEGER)) AS head, count(*) FILTER (pos > 0 AND pos % step = 0) AS asked FROM sized, range(0, 60, 3) t(m) GROUP BY ALL),
+mean AS (SELECT slice_id, m, sum(asked * (n - 1 - head)) / sum(asked) AS mean FROM cell GROUP BY ALL HAVING sum(asked) > 0)"""
+
+
+@query("lod_shift", "ordered", f"SELECT * FROM (WITH {_SAMPLED} SELECT slice_id, CAST(min(m) + 3 AS BIGINT) AS shift FROM mean WHERE mean >= 1 GROUP BY slice_id)")
 def lod_shift(spark, d):
-    """Mean number of later points in the same cell, per cell size; a layer's size is the first with a mean of 1, enlarged once."""
-    cells, out = first_points(spark, d).select("code"), []
-    for s in range(0, 18, 3):
-        counts = cells.groupBy(F.shiftright("code", s).alias("cell")).agg(F.count("*").alias("n"))
-        out.append(counts.agg((F.sum(F.col("n") * (F.col("n") - 1) / 2) / F.sum("n")).alias("mean_neighbours")).select(F.lit(s).cast("long").alias("shift"), "mean_neighbours"))
-    return contexts.union_all(out)
+    """The bits that a layer's cells drop: every hundredth point of a slice asks how many others share its cell; the first size with
+    a mean of 1 is enlarged once. The slice's first point is no neighbour."""
+    return groups.lod_shift(ranked_points(spark, d), SHIFTS)
+
+
+def ranked_points(spark, d):
+    from pointweave.operators.predict import ranked
+
+    return ranked(sliced(spark, d))
 
 
 @query("except_flagged", "coded", "SELECT code FROM coded WHERE code NOT IN (SELECT min(code) FROM coded GROUP BY code >> 6)")
@@ -175,7 +187,7 @@ def _sql_unmorton(c: str, place: int) -> str:
 N = f"""n AS MATERIALIZED (SELECT CAST(level AS BIGINT) AS level, node, occupancy, {_sql_unmorton('node', 2)} AS x, {_sql_unmorton('node', 1)} AS y, {_sql_unmorton('node', 0)} AS z FROM nodes)"""
 
 
-def _with_n(body: str, more: str = "") -> str:
+def with_n(body: str, more: str = "") -> str:
     """Further common tables follow the shared chain, so they stand in a nested WITH."""
     return f"SELECT * FROM (WITH {N}{more} {body})"
 
@@ -186,36 +198,39 @@ hit AS (SELECT a.level, a.node, CAST(bit_or(1 << i) AS BIGINT) AS mask FROM (SEL
 masked AS (SELECT n.level, n.node, occupancy, coalesce(mask, 0) AS mask FROM n LEFT JOIN hit USING (level, node))"""
 
 
-@query("ctx_parent18", "nodes", _with_n("SELECT level, node, mask FROM masked", _MASK))
+@query("ctx_parent18", "nodes", with_n("SELECT level, node, mask FROM masked", _MASK))
 def ctx_parent18(spark, d):
     return contexts.neighbour_mask(level_nodes(spark, d)).select("level", "node", "mask")
 
 
 _CHILDREN = ", ".join(f"({c}, {', '.join(map(str, v))})" for c, v in enumerate(contexts.CHILD_NEIGHBOURS))
-_PARENT = _MASK + f""", k(child, f0, f1, f2, e0, e1, e2) AS (VALUES {_CHILDREN}),
+PARENT_SQL = _MASK + f""", k(child, f0, f1, f2, e0, e1, e2) AS (VALUES {_CHILDREN}),
 pctx AS (SELECT level, node, occupancy, child, (((mask >> f0) & 1) + 2 * ((mask >> f1) & 1) + 4 * ((mask >> f2) & 1)) * 4 + ((mask >> e0) & 1) + ((mask >> e1) & 1) + ((mask >> e2) & 1) AS parent_ctx FROM masked, k)"""
 
 
-@query("ctx_parent_child", "nodes", _with_n("SELECT level, node, CAST(child AS INTEGER) AS child, parent_ctx FROM pctx", _PARENT))
+@query("ctx_parent_child", "nodes", with_n("SELECT level, node, CAST(child AS INTEGER) AS child, parent_ctx FROM pctx", PARENT_SQL))
 def ctx_parent_child(spark, d):
     return contexts.parent_child_context(contexts.neighbour_mask(level_nodes(spark, d))).select("level", "node", "child", "parent_ctx")
 
 
 #: Per child and axis, where the child before it lies: in the node itself or in its neighbour on that axis.
 _BESIDE = ", ".join(f"({c}, {', '.join(f'{int(bool(c & w))}, {c ^ w}' for w in (4, 2, 1))})" for c in range(8))
-_SIBLING = f""", beside(child, ix, cx, iy, cy, iz, cz) AS (VALUES {_BESIDE}),
+SIBLING_SQL = f""", beside(child, ix, cx, iy, cy, iz, cz) AS (VALUES {_BESIDE}),
 cctx AS (SELECT a.level, a.node, a.occupancy, child, (a.occupancy >> child) & 1 AS bit, ((CASE WHEN ix = 1 THEN a.occupancy ELSE coalesce(p.occupancy, 0) END >> cx) & 1)
  + 2 * ((CASE WHEN iy = 1 THEN a.occupancy ELSE coalesce(q.occupancy, 0) END >> cy) & 1) + 4 * ((CASE WHEN iz = 1 THEN a.occupancy ELSE coalesce(s.occupancy, 0) END >> cz) & 1) AS child_ctx
  FROM n a LEFT JOIN n p ON p.level = a.level AND p.x = a.x - 1 AND p.y = a.y AND p.z = a.z LEFT JOIN n q ON q.level = a.level AND q.x = a.x AND q.y = a.y - 1 AND q.z = a.z
  LEFT JOIN n s ON s.level = a.level AND s.x = a.x AND s.y = a.y AND s.z = a.z - 1, beside)"""
 
 
-@query("ctx_sibling", "nodes", _with_n("SELECT level, node, CAST(child AS INTEGER) AS child, child_ctx, bit FROM cctx", _SIBLING))
+@query("ctx_sibling", "nodes", with_n("SELECT level, node, CAST(child AS INTEGER) AS child, child_ctx, bit FROM cctx", SIBLING_SQL))
 def ctx_sibling(spark, d):
     return contexts.causal_context(level_nodes(spark, d)).select("level", "node", "child", "child_ctx", "bit")
 
 
-@query("context_counts", "nodes", _with_n("SELECT level, parent_ctx * 8 + child_ctx AS ctx, CAST(count(*) AS BIGINT) AS n, CAST(sum(bit) AS BIGINT) AS ones FROM pctx JOIN cctx USING (level, node, child) GROUP BY ALL", _PARENT + _SIBLING))
+COUNTS_SQL = "SELECT level, parent_ctx * 8 + child_ctx AS ctx, CAST(count(*) AS BIGINT) AS n, CAST(sum(bit) AS BIGINT) AS ones FROM pctx JOIN cctx USING (level, node, child) GROUP BY ALL"
+
+
+@query("context_counts", "nodes", with_n(COUNTS_SQL, PARENT_SQL + SIBLING_SQL))
 def context_counts(spark, d):
     """Occupancy bins of mode 0 per level and context."""
     nodes = level_nodes(spark, d)
@@ -227,7 +242,7 @@ def context_counts(spark, d):
 _AHEAD_SQL = "SELECT a.level, a.node, CAST(p.node IS NOT NULL AS BIGINT) + 2 * CAST(q.node IS NOT NULL AS BIGINT) + 4 * CAST(s.node IS NOT NULL AS BIGINT) AS ctx FROM n a LEFT JOIN n p ON p.level = a.level AND p.x = a.x + 1 AND p.y = a.y AND p.z = a.z LEFT JOIN n q ON q.level = a.level AND q.x = a.x AND q.y = a.y + 1 AND q.z = a.z LEFT JOIN n s ON s.level = a.level AND s.x = a.x AND s.y = a.y AND s.z = a.z + 1"
 
 
-@query("ctx_mode1_parent3", "nodes", _with_n(_AHEAD_SQL))
+@query("ctx_mode1_parent3", "nodes", with_n(_AHEAD_SQL))
 def ctx_mode1_parent3(spark, d):
     around = contexts.siblings(level_nodes(spark, d), {"a": (1, 0, 0), "b": (0, 1, 0), "c": (0, 0, 1)})
     some = lambda c: F.when(F.col(c) > 0, 1).otherwise(0).cast("long")
@@ -238,7 +253,7 @@ _PLANE_JOINS = " ".join(f"LEFT JOIN n {k} ON {k}.level = a.level AND {k}.x = a.x
 _PLANE_SQL = "SELECT a.level, a.node, " + ", ".join(f"coalesce({k}.occupancy, 0) AS {k}" for k in contexts.PLANES) + f" FROM n a {_PLANE_JOINS}"
 
 
-@query("ctx_mode1_planes", "nodes", _with_n(_PLANE_SQL))
+@query("ctx_mode1_planes", "nodes", with_n(_PLANE_SQL))
 def ctx_mode1_planes(spark, d):
     return contexts.siblings(level_nodes(spark, d), contexts.PLANES).select("level", "node", *contexts.PLANES)
 
@@ -253,7 +268,7 @@ _CHILD_SQL = " UNION ALL ".join(
 )
 
 
-@query("ctx_mode1_child", "nodes", _with_n(_CHILD_SQL))
+@query("ctx_mode1_child", "nodes", with_n(_CHILD_SQL))
 def ctx_mode1_child(spark, d):
     return contexts.plane_context(level_nodes(spark, d)).select("level", "node", "child", "face", "extern", "bit")
 
@@ -261,7 +276,7 @@ def ctx_mode1_child(spark, d):
 _CTX1 = "CASE WHEN face = 0 AND extern = 0 THEN child * 8 + ctx ELSE 64 + 8 * extern + face END"
 
 
-@query("context_counts_mode1", "nodes", _with_n(f"SELECT level, CAST({_CTX1} AS BIGINT) AS context, CAST(count(*) AS BIGINT) AS n, CAST(sum(bit) AS BIGINT) AS ones FROM ({_CHILD_SQL}) JOIN ({_AHEAD_SQL}) USING (level, node) GROUP BY ALL"))
+@query("context_counts_mode1", "nodes", with_n(f"SELECT level, CAST({_CTX1} AS BIGINT) AS context, CAST(count(*) AS BIGINT) AS n, CAST(sum(bit) AS BIGINT) AS ones FROM ({_CHILD_SQL}) JOIN ({_AHEAD_SQL}) USING (level, node) GROUP BY ALL"))
 def context_counts_mode1(spark, d):
     """Occupancy bins of mode 1 per level and context."""
     bins = contexts.plane_context(level_nodes(spark, d))
@@ -279,7 +294,7 @@ _ADAPTED = f"""SELECT slice_id, ctx, {_LEVEL} AS level, {_CYCLE} AS cycle, {_PRO
  SELECT (level << 32) + (node >> 9) AS slice_id, parent_ctx * 8 + child_ctx AS ctx, node, child, bit FROM pctx JOIN cctx USING (level, node, child)) GROUP BY slice_id, ctx)"""
 
 
-@query("ctx_adapt", "nodes", _with_n(_ADAPTED, _PARENT + _SIBLING))
+@query("ctx_adapt", "nodes", with_n(_ADAPTED, PARENT_SQL + SIBLING_SQL))
 def ctx_adapt(spark, d):
     """Adaptive bin models of mode 0 after each slice of 512 node places of a level; the level is the slice's high part."""
     nodes = level_nodes(spark, d)
@@ -322,7 +337,7 @@ def qtbt_octree(spark, d):
 _HALVES = ", ".join(f"({v}, {3 * v + 2})" for v in range(DEPTH))
 
 
-@query("occ_lookup", "nodes", _with_n(f"SELECT q.level, q.node, coalesce(n.occupancy, 0) AS occupancy FROM (SELECT DISTINCT CAST(v AS BIGINT) AS level, code >> m AS node FROM coded, (VALUES {_HALVES}) t(v, m)) q LEFT JOIN n USING (level, node)"))
+@query("occ_lookup", "nodes", with_n(f"SELECT q.level, q.node, coalesce(n.occupancy, 0) AS occupancy FROM (SELECT DISTINCT CAST(v AS BIGINT) AS level, code >> m AS node FROM coded, (VALUES {_HALVES}) t(v, m)) q LEFT JOIN n USING (level, node)"))
 def occ_lookup(spark, d):
     """Occupancy of asked places on every level, 0 where no node is; the places are codes cut one bit short, so that some are empty."""
     halves = F.explode(F.array(*[F.struct(F.lit(v).cast("long").alias("level"), F.shiftright("code", 3 * v + 2).alias("node")) for v in range(DEPTH)]))
@@ -330,7 +345,7 @@ def occ_lookup(spark, d):
     return asked.join(level_nodes(spark, d), ["level", "node"], "left").select("level", "node", F.coalesce("occupancy", F.lit(0).cast("long")).alias("occupancy"))
 
 
-@query("child_occ_lookup", "nodes", _with_n("SELECT level, x * 2 + (c >> 2) AS cx, y * 2 + ((c >> 1) & 1) AS cy, z * 2 + (c & 1) AS cz, ((occupancy >> c) & 1) = 1 AS occupied FROM n, range(8) t(c)"))
+@query("child_occ_lookup", "nodes", with_n("SELECT level, x * 2 + (c >> 2) AS cx, y * 2 + ((c >> 1) & 1) AS cy, z * 2 + (c & 1) AS cz, ((occupancy >> c) & 1) = 1 AS occupied FROM n, range(8) t(c)"))
 def child_occ_lookup(spark, d):
     cells = contexts.with_cell(level_nodes(spark, d)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(7))))
     bit = lambda w: F.shiftright("c", w).bitwiseAND(F.lit(1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pointweave.operators import groups, kernels, predict
 from pointweave.plans.base import BITS, query, sliced, sql_morton
+from pointweave.plans.grouped import SHIFTS
 from pointweave.streaming.frames import windowed_counts
 
 QP = 16
@@ -26,17 +27,17 @@ def color_neighbors(spark, d):
     return predict.color_neighbours(ordered(spark, d)).select("slice_id", "pos", "step", "weight", "npos")
 
 
-_PRED = f"""{_NEAR}, met AS (SELECT slice_id, pos, count(*) AS n, sum(weight) AS w, sum(weight * r) AS sr, sum(weight * g) AS sg, sum(weight * b) AS sb, arg_min(g, step) AS fg, arg_min(b, step) AS fb FROM near GROUP BY ALL),
+PRED_SQL = f"""{_NEAR}, met AS (SELECT slice_id, pos, count(*) AS n, sum(weight) AS w, sum(weight * r) AS sr, sum(weight * g) AS sg, sum(weight * b) AS sb, arg_min(g, step) AS fg, arg_min(b, step) AS fb FROM near GROUP BY ALL),
 pred AS (SELECT o.slice_id, o.pos, o.r, o.g, o.b, CAST(coalesce(sr // w, lag(o.r) OVER p, 0) AS BIGINT) AS pred_r, CAST(coalesce(CASE WHEN n > 1 THEN fg ELSE sg // w END, lag(o.g) OVER p, 0) AS BIGINT) AS pred_g,
  CAST(coalesce(CASE WHEN n > 1 THEN fb ELSE sb // w END, lag(o.b) OVER p, 0) AS BIGINT) AS pred_b FROM ordered o LEFT JOIN met USING (slice_id, pos) WINDOW p AS (PARTITION BY slice_id ORDER BY o.pos))"""
 
 
-@query("pred_color", "ordered", f"SELECT * FROM (WITH {_PRED} SELECT slice_id, pos, pred_r, pred_g, pred_b FROM pred)")
+@query("pred_color", "ordered", f"SELECT * FROM (WITH {PRED_SQL} SELECT slice_id, pos, pred_r, pred_g, pred_b FROM pred)")
 def pred_color(spark, d):
     return predict.predict_color(ordered(spark, d)).select("slice_id", "pos", "pred_r", "pred_g", "pred_b")
 
 
-@query("residual_color", "ordered", f"SELECT * FROM (WITH {_PRED} SELECT slice_id, pos, r - pred_r AS d0, g - pred_g - (r - pred_r) AS d1, b - pred_b - (g - pred_g) AS d2 FROM pred)")
+@query("residual_color", "ordered", f"SELECT * FROM (WITH {PRED_SQL} SELECT slice_id, pos, r - pred_r AS d0, g - pred_g - (r - pred_r) AS d1, b - pred_b - (g - pred_g) AS d2 FROM pred)")
 def residual_color(spark, d):
     """With cross-component prediction: each channel's residual less the one before."""
     p = predict.predict_color(ordered(spark, d))
@@ -62,7 +63,7 @@ def prev_n_nearest(spark, d):
 
 
 _IDW = "CASE WHEN w1 * w2 + w2 * w3 + w1 * w3 > 0 THEN (w2 * w3 * v1 + w1 * w3 * v2 + w1 * w2 * v3) // (w1 * w2 + w2 * w3 + w1 * w3) END"
-_REFL = f"""pairs AS (SELECT a.slice_id, a.pos, a.pos - b.pos AS back, b.refl AS v, abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) AS d FROM ordered a JOIN ordered b ON a.slice_id = b.slice_id AND b.pos BETWEEN a.pos - 128 AND a.pos - 1),
+REFL_SQL = f"""pairs AS (SELECT a.slice_id, a.pos, a.pos - b.pos AS back, b.refl AS v, abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) AS d FROM ordered a JOIN ordered b ON a.slice_id = b.slice_id AND b.pos BETWEEN a.pos - 128 AND a.pos - 1),
 three AS (SELECT slice_id, pos, l[1][1] AS w1, l[2][1] AS w2, l[3][1] AS w3, l[1][3] AS v1, l[2][3] AS v2, l[3][3] AS v3 FROM (SELECT slice_id, pos, list([d, back, v] ORDER BY d, back)[1:3] AS l FROM pairs GROUP BY ALL)),
 lags AS (SELECT *, lag(refl) OVER p AS r1, lag(refl, 2) OVER p AS r2, abs(x - lag(x) OVER p) + abs(y - lag(y) OVER p) + 16 * abs(z - lag(z) OVER p) AS u1, abs(x - lag(x, 2) OVER p) + abs(y - lag(y, 2) OVER p) + 16 * abs(z - lag(z, 2) OVER p) AS u2 FROM ordered WINDOW p AS (PARTITION BY slice_id ORDER BY pos)),
 guess AS (SELECT o.slice_id, o.pos, o.refl, CAST(CASE o.pos WHEN 0 THEN 0 WHEN 1 THEN r1 WHEN 2 THEN round((u2 * r1 + u1 * r2) / (u1 + u2)) ELSE {_IDW} END AS BIGINT) AS pred_refl FROM lags o LEFT JOIN three USING (slice_id, pos))"""
@@ -73,12 +74,12 @@ def hilbert_rank(spark, d):
     return predict.hilbert_ranked(sliced(spark, d), BITS).select("slice_id", "point_id", "hilbert", "pos")
 
 
-@query("pred_refl_hilbert", "hordered", f"SELECT * FROM (WITH {_REFL.replace('ordered', 'hordered')} SELECT slice_id, pos, pred_refl FROM guess)")
+@query("pred_refl_hilbert", "hordered", f"SELECT * FROM (WITH {REFL_SQL.replace('ordered', 'hordered')} SELECT slice_id, pos, pred_refl FROM guess)")
 def pred_refl_hilbert(spark, d):
     return predict.predict_refl(predict.hilbert_ranked(sliced(spark, d), BITS)).select("slice_id", "pos", "pred_refl")
 
 
-@query("residual_refl", "ordered", f"SELECT * FROM (WITH {_REFL} SELECT slice_id, pos, refl - pred_refl AS residual FROM guess)")
+@query("residual_refl", "ordered", f"SELECT * FROM (WITH {REFL_SQL} SELECT slice_id, pos, refl - pred_refl AS residual FROM guess)")
 def residual_refl(spark, d):
     p = predict.predict_refl(ordered(spark, d))
     return p.select("slice_id", "pos", (F.col("refl") - F.col("pred_refl")).alias("residual"))
@@ -88,12 +89,12 @@ _STATS = """stat AS (SELECT slice_id, CAST(sum(s) AS BIGINT) AS total, count(*)
  CAST(coalesce(sum(s) FILTER (s > 2) // nullif(count(*) FILTER (s > 2), 0), 0) AS BIGINT) AS mean_large FROM (SELECT slice_id, abs(refl - pred_refl) AS s FROM guess WHERE pos < 512) GROUP BY slice_id)"""
 
 
-@query("residual_stats", "ordered", f"SELECT * FROM (WITH {_REFL}, {_STATS} SELECT * FROM stat)")
+@query("residual_stats", "ordered", f"SELECT * FROM (WITH {REFL_SQL}, {_STATS} SELECT * FROM stat)")
 def residual_stats(spark, d):
     return groups.residual_stats(residual_refl(spark, d))
 
 
-@query("adapt_decision", "ordered", f"SELECT * FROM (WITH {_REFL}, {_STATS} SELECT slice_id, mean_large > 50 AS switch FROM stat)")
+@query("adapt_decision", "ordered", f"SELECT * FROM (WITH {REFL_SQL}, {_STATS} SELECT slice_id, mean_large > 50 AS switch FROM stat)")
 def adapt_decision(spark, d):
     """Per slice: at parameter 0 a mean over 50 switches the predictor."""
     return residual_stats(spark, d).select("slice_id", (F.col("mean_large") > 50).alias("switch"))
@@ -109,11 +110,14 @@ def dual_order_candidates(spark, d):
     return near.select("slice_id", "pos", F.transform("near", lambda n: n["d"]).alias("distances"), F.transform("near", lambda n: n["back"]).alias("backs"))
 
 
-@query("pred_refl_dual", "ordered", f"""SELECT * FROM (WITH {_DUAL}, three AS (SELECT slice_id, pos, l[1][1] AS w1, l[2][1] AS w2, l[3][1] AS w3, l[1][3] AS v1, l[2][3] AS v2, l[3][3] AS v3 FROM (SELECT slice_id, pos, list([d, back, v] ORDER BY d, back)[1:3] AS l FROM cand GROUP BY ALL))
- SELECT slice_id, pos, CAST({_IDW} AS BIGINT) AS pred_refl FROM three WHERE pos > 2)""")
+_LAGS = REFL_SQL[REFL_SQL.index("lags AS") : REFL_SQL.index("guess AS")].rstrip().rstrip(",")
+
+
+@query("pred_refl_dual", "ordered", f"""SELECT * FROM (WITH {_DUAL}, {_LAGS}, three AS (SELECT slice_id, pos, l[1][1] AS w1, l[2][1] AS w2, l[3][1] AS w3, l[1][3] AS v1, l[2][3] AS v2, l[3][3] AS v3 FROM (SELECT slice_id, pos, list([d, back, v] ORDER BY d, back)[1:3] AS l FROM cand GROUP BY ALL))
+ SELECT o.slice_id, o.pos, CAST(CASE o.pos WHEN 0 THEN 0 WHEN 1 THEN r1 WHEN 2 THEN round((u2 * r1 + u1 * r2) / (u1 + u2)) ELSE {_IDW} END AS BIGINT) AS pred_refl FROM lags o LEFT JOIN three USING (slice_id, pos))""")
 def pred_refl_dual(spark, d):
-    near = predict.dual_candidates(ordered(spark, d)).where("pos > 2")
-    return near.select("slice_id", "pos", predict.inverse_distance(F.col("near")).cast("long").alias("pred_refl"))
+    near = predict.dual_candidates(ordered(spark, d))
+    return near.select("slice_id", "pos", predict.after_first_three(predict.inverse_distance(F.col("near"))).alias("pred_refl"))
 
 
 @query("topk_heap", "ordered", "SELECT slice_id, list(refl ORDER BY refl DESC)[1:3] AS top FROM ordered GROUP BY slice_id")
@@ -126,7 +130,7 @@ def topk_heap(spark, d):
 _BINS = [("zero", "s = 0"), ("one", "s = 1"), ("two", "s = 2"), ("three", "s = 3"), ("escape", "s > 3")]
 
 
-@query("residual_bins", "ordered", f"SELECT * FROM (WITH {_REFL}, s AS (SELECT slice_id, abs(refl - pred_refl) AS s FROM guess) SELECT slice_id, " + ", ".join(f"CAST(count(*) FILTER ({c}) AS BIGINT) AS {n}" for n, c in _BINS) + " FROM s GROUP BY slice_id)")
+@query("residual_bins", "ordered", f"SELECT * FROM (WITH {REFL_SQL}, s AS (SELECT slice_id, abs(refl - pred_refl) AS s FROM guess) SELECT slice_id, " + ", ".join(f"CAST(count(*) FILTER ({c}) AS BIGINT) AS {n}" for n, c in _BINS) + " FROM s GROUP BY slice_id)")
 def residual_bins(spark, d):
     """How many residuals end at each step of the binarisation."""
     rows = residual_refl(spark, d).withColumn("s", F.abs("residual"))
@@ -151,7 +155,7 @@ def recon_refl(spark, d):
 
 #: The cache as a list, oldest first, one point of every slice a step.
 _GAPS = "list_transform(cache, lambda c: abs(c - v[pos + 2]))"
-_CACHED = f"""SELECT * FROM (WITH RECURSIVE held AS MATERIALIZED (SELECT slice_id, list(refl ORDER BY pos) AS v FROM ordered GROUP BY slice_id),
+CACHED_SQL = f"""SELECT * FROM (WITH RECURSIVE held AS MATERIALIZED (SELECT slice_id, list(refl ORDER BY pos) AS v FROM ordered GROUP BY slice_id),
 run(slice_id, pos, refl, cache_index, pred_refl, cache) AS (SELECT slice_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM held
  UNION ALL SELECT slice_id, pos + 1, own, CAST(place - 1 AS INTEGER), coalesce(cache[place], 0),
   CASE WHEN same > 0 THEN list_transform(cache, lambda c, i: CASE WHEN i = 1 THEN own WHEN i = same THEN cache[1] ELSE c END) WHEN len(cache) = {kernels.CACHE} THEN list_append(cache[2:], own) ELSE list_append(cache, own) END
@@ -159,12 +163,12 @@ run(slice_id, pos, refl, cache_index, pred_refl, cache) AS (SELECT slice_id, CAS
 SELECT slice_id, pos, refl, cache_index, pred_refl FROM run WHERE pos >= 0)"""
 
 
-@query("pred_refl_cache", "ordered", _CACHED)
+@query("pred_refl_cache", "ordered", CACHED_SQL)
 def pred_refl_cache(spark, d):
     return kernels.predict_refl_cache(ordered(spark, d))
 
 
-@query("cache_nearest", "ordered", f"SELECT cache_index, count(*) AS n FROM ({_CACHED}) GROUP BY cache_index")
+@query("cache_nearest", "ordered", f"SELECT cache_index, count(*) AS n FROM ({CACHED_SQL}) GROUP BY cache_index")
 def cache_nearest(spark, d):
     return kernels.predict_refl_cache(ordered(spark, d)).groupBy("cache_index").agg(F.count("*").alias("n"))
 
@@ -193,7 +197,7 @@ def decode_refl(spark, d):
     return kernels.decode_refl(kernels.code_refl(refl_geometry(spark, d), QP).drop("refl", "recon"), QP)
 
 
-@query("encode_refl_lossless", "ordered", f"SELECT * FROM (WITH {_REFL} SELECT slice_id, pos, refl - pred_refl AS coded, refl AS recon FROM guess)")
+@query("encode_refl_lossless", "ordered", f"SELECT * FROM (WITH {REFL_SQL} SELECT slice_id, pos, refl - pred_refl AS coded, refl AS recon FROM guess)")
 def encode_refl_lossless(spark, d):
     """At parameter 0 the sequential coder equals the windows over the input."""
     return kernels.code_refl(refl_geometry(spark, d), 0).select("slice_id", "pos", "coded", "recon")
@@ -214,7 +218,7 @@ def decode_color(spark, d):
     return kernels.decode_color(kernels.code_color(color_geometry(spark, d), QP).drop("r", "g", "b"), QP)
 
 
-@query("encode_color_lossless", "ordered", f"SELECT * FROM (WITH {_PRED} SELECT slice_id, pos, r - pred_r AS d0, g - pred_g - (r - pred_r) AS d1, b - pred_b - (g - pred_g) AS d2 FROM pred)")
+@query("encode_color_lossless", "ordered", f"SELECT * FROM (WITH {PRED_SQL} SELECT slice_id, pos, r - pred_r AS d0, g - pred_g - (r - pred_r) AS d1, b - pred_b - (g - pred_g) AS d2 FROM pred)")
 def encode_color_lossless(spark, d):
     """At parameter 0 the sequential coder equals the windows over the input."""
     return kernels.code_color(color_geometry(spark, d), 0).select("slice_id", "pos", "d0", "d1", "d2")
@@ -225,14 +229,20 @@ def decode_color_lossless(spark, d):
     return kernels.decode_color(kernels.code_color(color_geometry(spark, d), 0).drop("r", "g", "b"), 0)
 
 
+def layered(spark, d):
+    """Layers whose first cells have the size that the slice's sample chose."""
+    points = ordered(spark, d)
+    return kernels.lod_layers(points.join(F.broadcast(groups.lod_shift(points, SHIFTS)), "slice_id", "left"))
+
+
 @query("lod_layers")
 def lod_layers(spark, d):
-    return kernels.lod_layers(ordered(spark, d))
+    return layered(spark, d)
 
 
 @query("lod_counts")
 def lod_counts(spark, d):
-    return kernels.lod_layers(ordered(spark, d)).groupBy("slice_id", "layer").agg(F.count("*").alias("n"))
+    return layered(spark, d).groupBy("slice_id", "layer").agg(F.count("*").alias("n"))
 
 
 @query("stream_windows", "", "SELECT CAST(time_bucket(INTERVAL '1 hour', CAST(ts AS TIMESTAMP)) AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")

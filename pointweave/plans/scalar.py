@@ -236,8 +236,9 @@ def boundary_flag(spark, d):
     return point_cloud(spark, d).select(*ID, (last[0] | last[1] | last[2]).alias("edge"))
 
 
-@query("dup_equal", "pc", "SELECT a.point_id, b.point_id AS other_id FROM pc a JOIN pc b ON a.x = b.x AND a.y = b.y AND a.z = b.z AND a.point_id < b.point_id WHERE a.frame = 0")
+@query("dup_equal", "pc", "SELECT point_id, first_id FROM (SELECT point_id, min(point_id) OVER c AS first_id, count(*) OVER c AS n FROM pc WINDOW c AS (PARTITION BY x, y, z)) WHERE n > 1")
 def dup_equal(spark, d):
-    points = point_cloud(spark, d).select(*ID, "frame", "x", "y", "z")
-    other = points.select(F.col("point_id").alias("other_id"), "x", "y", "z")
-    return points.where("frame = 0").join(other, ["x", "y", "z"]).where("point_id < other_id").select(*ID, "other_id")
+    """Equal points as classes: every point that has an equal one with the first of its class; pairs aren't made."""
+    points = point_cloud(spark, d).select(*ID, "x", "y", "z")
+    classes = points.groupBy("x", "y", "z").agg(F.min("point_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return points.join(classes, ["x", "y", "z"]).select(*ID, "first_id")
