@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import columns as C
 from pointweave.operators import contexts, groups, kernels, splits
-from pointweave.operators.cuts import Written
+from pointweave.operators.cuts import Written, shared_place
 from pointweave.plans.base import BITS, DEPTH, first_points, lossy, point_cloud, query, signed_cloud, sliced, sql_morton
+from pointweave.sources.ply import PlyDataSource, scan_ply
 
 SIDES = ", ".join(f"{f}({c}) AS {f}_{c}" for c in "xyz" for f in ("min", "max"))
 
@@ -369,3 +370,24 @@ def history_swap(spark, d):
     nodes = level_nodes(spark, d)
     parents = nodes.select((F.col("level") - 1).alias("level"), F.col("node").alias("parent"), F.col("occupancy").alias("parent_occupancy"))
     return nodes.withColumn("parent", F.shiftright("node", 3)).join(parents, ["level", "parent"]).select("level", "node", "parent_occupancy")
+
+
+def _through_files(spark, d, encoding):
+    """The lossy cloud written as PLY files by its tasks and scanned again."""
+    spark.dataSource.register(PlyDataSource)
+    place = shared_place(spark, "ply")
+    lossy(spark, d).write.format("ply").option("encoding", encoding).mode("append").save(place)
+    return scan_ply(spark, place).select("x", "y", "z", *[F.col(c).cast("long").alias(c) for c in ("r", "g", "b", "refl")])
+
+
+_FILES = "SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, r, g, b, refl FROM lossy"
+
+
+@query("ply_ascii", "lossy", _FILES)
+def ply_ascii(spark, d):
+    return _through_files(spark, d, "ascii")
+
+
+@query("ply_binary", "lossy", _FILES)
+def ply_binary(spark, d):
+    return _through_files(spark, d, "binary_little_endian")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +34,12 @@ def split_chunks(data: bytes) -> list[tuple[int, bytes]]:
 
 def unescape_payload(data: bytes) -> bytes:
     """After two or more zero bytes a byte 02 gives up two bits; the bits behind it move up."""
-    bits: list[str] = []
-    zeros = 0
-    for byte in data:
-        if zeros >= 2 and byte == 2:
-            bits.append(f"{byte >> 2:06b}")
-            zeros = 0
-            continue
-        bits.append(f"{byte:08b}")
-        zeros = zeros + 1 if byte == 0 else 0
-    whole = "".join(bits)
-    return bytes(int(whole[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(whole), 8))
+    escapes = np.array([m.end() - 1 for m in re.finditer(b"\x00{2,}\x02", data)], dtype=np.int64)
+    if not len(escapes):
+        return data
+    kept = np.ones(8 * len(data), dtype=bool)
+    kept[8 * escapes + 6] = kept[8 * escapes + 7] = False
+    return np.packbits(np.unpackbits(np.frombuffer(data, np.uint8))[kept]).tobytes()
 
 
 def scan_chunks(spark: SparkSession, path: str) -> DataFrame:
