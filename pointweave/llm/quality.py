@@ -42,6 +42,8 @@ RULES: dict[str, tuple[str, str, tuple[int, ...]]] = {
 }
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts")
 WINDOW = 5
+#: Labels of at most 16 bytes each that are broadcast.
+BROADCAST_LABELS = 1_000_000
 TERMS = 2000
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
@@ -177,8 +179,9 @@ def rated_documents(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns."""
-    # Only labelled rows feed the cutoffs, so only theirs are rated before all rows are.
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Only labelled rows feed the cutoffs. With few labels only theirs are rated first; many would cost a shuffle of all texts.
+    few = labels.count() <= BROADCAST_LABELS
+    labelled = docs.join(F.broadcast(labels.select("doc_id").distinct()), "doc_id", "left_semi") if few else docs
     chosen = materialise(cutoffs(rated_documents(labelled), labels), "cutoffs")
     own = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", "text", "lang")
     # A filter must not be pushed below the features, where each of their nested uses would be evaluated anew;
