@@ -244,7 +244,7 @@ def flagship(spark, d):
     """Nodes, points and mean reflectance per octree level of the voxelised, recoloured cloud."""
     from pointweave.functions.columns import morton3
 
-    cells = lossy(spark, d).withColumn("code", morton3(*map(F.col, "xyz"), 5))
+    cells = lossy(spark, d).withColumn("code", morton3(*map(F.col, "xyz")))
     nodes = groups.octree(cells, 5)
     total = cells.agg(F.count("*").alias("n_points"), F.avg("refl").alias("mean_refl"))
     return nodes.groupBy("level").agg(F.count("*").alias("n_nodes"), F.sum(F.bit_count("occupancy")).alias("n_children")).join(F.broadcast(total))
