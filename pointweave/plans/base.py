@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.columns import hilbert_tables, morton3
 from pointweave.operators import groups
-from pointweave.sources.cloud import SQL_CLOUD, SQL_SIGNED, point_cloud, signed_cloud
+from pointweave.operators.cuts import Written
+from pointweave.sources.cloud import SQL_CLOUD, SQL_SIGNED, loose_points, point_cloud, points_with_first, signed_cloud
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,8 +79,15 @@ def query(name: str, needs: str = "", sql: str | None = None):
 
 
 def first_points(spark: SparkSession, d: str) -> DataFrame:
-    """The first point of every cell, with its code."""
-    return groups.dedupe_first(point_cloud(spark, d), "x", "y", "z").withColumn("code", morton3(F.col("x"), F.col("y"), F.col("z"), BITS))
+    """The first point of every cell, with its code; written once, as the queries read it many times."""
+    first = Written(groups.dedupe_first(points_with_first(spark, d), "x", "y", "z"), "first").df
+    return first.withColumn("code", morton3(F.col("x"), F.col("y"), F.col("z"), BITS))
+
+
+def coded_cells(spark: SparkSession, d: str) -> DataFrame:
+    """x, y, z and code of every cell, without a shuffle of points; written once."""
+    cells = Written(loose_points(spark, d).select("x", "y", "z").distinct(), "cells").df
+    return cells.withColumn("code", morton3(F.col("x"), F.col("y"), F.col("z"), BITS))
 
 
 def sliced(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +95,7 @@ def sliced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lossy(spark: SparkSession, d: str) -> DataFrame:
-    return groups.fast_recolor(point_cloud(spark, d), STEP)
+    return groups.fast_recolor(loose_points(spark, d), STEP)
 
 
-__all__ = ["BITS", "DEPTH", "ORACLES", "QUERIES", "SLICES", "STEP", "first_points", "lossy", "point_cloud", "query", "signed_cloud", "sliced", "sql_hilbert", "sql_morton", "with_steps"]
+__all__ = ["BITS", "DEPTH", "ORACLES", "QUERIES", "SLICES", "STEP", "coded_cells", "first_points", "loose_points", "lossy", "point_cloud", "points_with_first", "query", "signed_cloud", "sliced", "sql_hilbert", "sql_morton", "with_steps"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pointweave.functions import columns as C
 from pointweave.operators import contexts, groups, kernels, splits
 from pointweave.operators.cuts import Written, shared_place
-from pointweave.plans.base import BITS, DEPTH, first_points, lossy, point_cloud, query, signed_cloud, sliced, sql_morton
+from pointweave.plans.base import BITS, DEPTH, coded_cells, first_points, loose_points, lossy, point_cloud, points_with_first, query, signed_cloud, sliced, sql_morton
 from pointweave.sources.ply import PlyDataSource, scan_ply
 
 SIDES = ", ".join(f"{f}({c}) AS {f}_{c}" for c in "xyz" for f in ("min", "max"))
@@ -21,7 +21,7 @@ def bbox(spark, d):
 
 @query("bbox_grid", "pc", "SELECT " + ", ".join(f"min({c}) AS origin_{c}, CAST(round((max({c}) - min({c})) / 4.0) + 1 AS BIGINT) AS size_{c}" for c in "xyz") + " FROM pc")
 def bbox_grid(spark, d):
-    return groups.bbox_grid(point_cloud(spark, d), 4.0)
+    return groups.bbox_grid(loose_points(spark, d), 4.0)
 
 
 @query("slice_bbox", "sliced", f"SELECT slice_id, {SIDES} FROM sliced GROUP BY slice_id")
@@ -31,7 +31,7 @@ def slice_bbox(spark, d):
 
 @query("dedupe_first", "first", "SELECT x, y, z, point_id, r, g, b, refl FROM first")
 def dedupe_first(spark, d):
-    return groups.dedupe_first(point_cloud(spark, d), "x", "y", "z").select("x", "y", "z", "point_id", "r", "g", "b", "refl")
+    return groups.dedupe_first(points_with_first(spark, d), "x", "y", "z").select("x", "y", "z", "point_id", "r", "g", "b", "refl")
 
 
 @query("fast_recolor", "lossy", "SELECT * FROM lossy")
@@ -41,39 +41,39 @@ def fast_recolor(spark, d):
 
 @query("dedupe_mean", "pc", "SELECT x, y, z, count(*) AS n_points, CAST(sum(r) // count(*) AS BIGINT) AS r, CAST(sum(g) // count(*) AS BIGINT) AS g, CAST(sum(b) // count(*) AS BIGINT) AS b, CAST(sum(refl) // count(*) AS BIGINT) AS refl FROM pc GROUP BY x, y, z")
 def dedupe_mean(spark, d):
-    return groups.dedupe_mean(point_cloud(spark, d))
+    return groups.dedupe_mean(loose_points(spark, d))
 
 
 @query("dup_report", "pc", "SELECT CAST(count(*) AS BIGINT) AS points_in, count(DISTINCT (x, y, z)) AS points_out, count(*) - count(DISTINCT (x, y, z)) AS duplicates FROM pc")
 def dup_report(spark, d):
-    return groups.dup_report(point_cloud(spark, d))
+    return groups.dup_report(loose_points(spark, d))
 
 
 @query("distinct_voxels", "pc", f"SELECT DISTINCT x, y, z, {sql_morton('x', 'y', 'z', BITS)} AS code FROM pc")
 def distinct_voxels(spark, d):
-    return groups.voxels(point_cloud(spark, d), BITS)
+    return groups.voxels(loose_points(spark, d), BITS)
 
 
 @query("leaf_dup_count", "pc", f"SELECT {sql_morton('x', 'y', 'z', BITS)} AS code, count(*) AS n FROM pc GROUP BY ALL HAVING count(*) > 1")
 def leaf_dup_count(spark, d):
     code = C.morton3(*map(F.col, "xyz"), BITS)
-    return point_cloud(spark, d).groupBy(code.alias("code")).agg(F.count("*").alias("n")).where("n > 1")
+    return loose_points(spark, d).groupBy(code.alias("code")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("octree_occupancy", "coded", "SELECT code >> 6 AS node, CAST(bit_or(1 << CAST((code >> 3) & 7 AS INTEGER)) AS BIGINT) AS occupancy FROM coded GROUP BY ALL")
 def octree_occupancy(spark, d):
-    return groups.octree_level(first_points(spark, d), 1).select("node", "occupancy")
+    return groups.octree_level(coded_cells(spark, d), 1).select("node", "occupancy")
 
 
 @query("octree_bfs", "nodes", "SELECT CAST(level AS BIGINT) AS level, node, occupancy FROM nodes")
 def octree_bfs(spark, d):
-    return groups.octree(first_points(spark, d), DEPTH).select("level", "node", "occupancy")
+    return groups.octree(coded_cells(spark, d), DEPTH).select("level", "node", "occupancy")
 
 
 @query("octree_dfs", "nodes", "SELECT CAST(level AS BIGINT) AS level, node, row_number() OVER (ORDER BY node << (3 * (level + 1)), level DESC) - 1 AS place FROM nodes WHERE level < 2")
 def octree_dfs(spark, d):
     """Depth-first places below level 2; places are counted inside subtrees and moved by their first places."""
-    nodes = groups.octree(first_points(spark, d), DEPTH).where("level < 2")
+    nodes = groups.octree(coded_cells(spark, d), DEPTH).where("level < 2")
     path = F.when(F.col("level") == 0, F.shiftleft("node", 3)).otherwise(F.shiftleft("node", 6))
     rows = nodes.select("level", "node", path.alias("path"), F.shiftright(path, 15).alias("part"))
     counts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))
@@ -92,7 +92,7 @@ SINGLE_SQL = f"""SELECT max(level) AS level, code FROM (SELECT v AS level, code,
 @query("octree_single_point", "coded", SINGLE_SQL)
 def octree_single_point(spark, d):
     """The highest level at which a point is alone in its node; levels are grouped one by one, without exploding points."""
-    cells = first_points(spark, d).select("code")
+    cells = coded_cells(spark, d).select("code")
     alone = []
     for v in range(DEPTH - 1):
         node = F.shiftright("code", 3 * (v + 1)).alias("node")
@@ -102,7 +102,7 @@ def octree_single_point(spark, d):
 
 @query("decode_octree", "coded", "SELECT code FROM coded")
 def decode_octree(spark, d):
-    return groups.decode_octree(groups.octree(first_points(spark, d), DEPTH), DEPTH)
+    return groups.decode_octree(groups.octree(coded_cells(spark, d), DEPTH), DEPTH)
 
 
 @query("slice_by_morton", "sliced", "SELECT point_id, code, CAST(slice_id AS BIGINT) AS slice_id FROM sliced")
@@ -140,7 +140,7 @@ def sort_codes(spark, d):
 
 @query("sort_lexi", "first", "SELECT x, y, z FROM first ORDER BY x, y, z")
 def sort_lexi(spark, d):
-    return first_points(spark, d).select("x", "y", "z").orderBy("x", "y", "z")
+    return coded_cells(spark, d).select("x", "y", "z").orderBy("x", "y", "z")
 
 
 @query("topk_insert", "pc", "SELECT frame, list(point_id ORDER BY refl, point_id)[1:3] AS ids FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY refl, point_id) AS n FROM pc) WHERE n <= 3 GROUP BY frame")
@@ -171,14 +171,14 @@ def ranked_points(spark, d):
 
 @query("except_flagged", "coded", "SELECT code FROM coded WHERE code NOT IN (SELECT min(code) FROM coded GROUP BY code >> 6)")
 def except_flagged(spark, d):
-    cells = first_points(spark, d).select("code")
+    cells = coded_cells(spark, d).select("code")
     kept = cells.groupBy(F.shiftright("code", 6).alias("cell")).agg(F.min("code").alias("code")).select("code")
     return cells.join(kept, "code", "left_anti")
 
 
 def level_nodes(spark, d):
     """The nodes of all levels, written once: every context query meets them several times."""
-    return Written(groups.octree(first_points(spark, d), DEPTH).select("level", "node", "occupancy"), "nodes").df
+    return Written(groups.octree(coded_cells(spark, d), DEPTH).select("level", "node", "occupancy"), "nodes").df
 
 
 def _sql_unmorton(c: str, place: int) -> str:
@@ -332,7 +332,7 @@ _SPLIT_SQL = " UNION ALL ".join(
 @query("qtbt_octree", "first", _SPLIT_SQL)
 def qtbt_octree(spark, d):
     """Nodes of every level of a box whose levels partly halve only the longest axes."""
-    return splits.split_octree(point_cloud(spark, d), _LEVELS)
+    return splits.split_octree(loose_points(spark, d), _LEVELS)
 
 
 _HALVES = ", ".join(f"({v}, {3 * v + 2})" for v in range(DEPTH))
@@ -342,7 +342,7 @@ _HALVES = ", ".join(f"({v}, {3 * v + 2})" for v in range(DEPTH))
 def occ_lookup(spark, d):
     """Occupancy of asked places on every level, 0 where no node is; the places are codes cut one bit short, so that some are empty."""
     halves = F.explode(F.array(*[F.struct(F.lit(v).cast("long").alias("level"), F.shiftright("code", 3 * v + 2).alias("node")) for v in range(DEPTH)]))
-    asked = first_points(spark, d).select(halves.alias("q")).select("q.*").distinct()
+    asked = coded_cells(spark, d).select(halves.alias("q")).select("q.*").distinct()
     return asked.join(level_nodes(spark, d), ["level", "node"], "left").select("level", "node", F.coalesce("occupancy", F.lit(0).cast("long")).alias("occupancy"))
 
 
@@ -361,7 +361,7 @@ _HELD = " UNION ALL ".join(f"SELECT CAST({v} AS BIGINT) AS level, code >> {3 * (
 def occ_insert(spark, d):
     """A node of a single point is recorded with occupancy 0."""
     held = F.explode(F.array(*[F.struct(F.lit(v).cast("long").alias("level"), F.shiftright("code", 3 * (v + 1)).alias("node")) for v in range(DEPTH)]))
-    count = first_points(spark, d).select(held.alias("h")).groupBy("h.level", "h.node").agg(F.count("*").alias("n"))
+    count = coded_cells(spark, d).select(held.alias("h")).groupBy("h.level", "h.node").agg(F.count("*").alias("n"))
     return level_nodes(spark, d).join(count, ["level", "node"]).select("level", "node", F.when(F.col("n") == 1, 0).otherwise(F.col("occupancy")).alias("occupancy"))
 
 

@@ -139,9 +139,9 @@ def residual_bins(spark, d):
 
 @query("duplicate_bins", "pc", "SELECT n - 2 AS escape, count(*) AS cells FROM (SELECT count(*) AS n FROM pc GROUP BY x, y, z) WHERE n > 1 GROUP BY ALL")
 def duplicate_bins(spark, d):
-    from pointweave.sources.cloud import point_cloud
+    from pointweave.sources.cloud import loose_points
 
-    counts = point_cloud(spark, d).groupBy("x", "y", "z").agg(F.count("*").alias("n")).where("n > 1")
+    counts = loose_points(spark, d).groupBy("x", "y", "z").agg(F.count("*").alias("n")).where("n > 1")
     return counts.groupBy((F.col("n") - 2).alias("escape")).agg(F.count("*").alias("cells"))
 
 

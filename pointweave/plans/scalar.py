@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import columns as C
 from pointweave.operators import groups
-from pointweave.plans.base import BITS, point_cloud, query, signed_cloud, sql_hilbert, sql_morton
+from pointweave.plans.base import BITS, loose_points, point_cloud, query, signed_cloud, sql_hilbert, sql_morton
 from pointweave.sources.chunks import as_chunk
 
 ID = ("point_id",)
@@ -67,7 +67,7 @@ def digest(spark, d):
 @query("bits_report", "pc", "SELECT frame, CAST(sum(length(x || ',' || y || ',' || z)) * 8 AS BIGINT) AS bits, sum(length(x || ',' || y || ',' || z)) * 8 / count(*) AS bits_per_point FROM pc GROUP BY frame")
 def bits_report(spark, d):
     bits = F.sum(F.length(F.concat_ws(",", "x", "y", "z"))) * 8
-    return point_cloud(spark, d).groupBy("frame").agg(bits.alias("bits"), (bits / F.count("*")).alias("bits_per_point"))
+    return loose_points(spark, d).groupBy("frame").agg(bits.alias("bits"), (bits / F.count("*")).alias("bits_per_point"))
 
 
 @query("rgb_to_yuv", "pc", f"SELECT point_id, {YUV[0]} AS y, {YUV[1]} AS u, {YUV[2]} AS v FROM pc")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointweave.operators import contexts, groups, predict, symbols
-from pointweave.plans.base import point_cloud, query, sliced
+from pointweave.plans.base import loose_points, query, sliced
 from pointweave.plans.grouped import COUNTS_SQL, PARENT_SQL, SIBLING_SQL, SINGLE_SQL, context_counts, octree_single_point, with_n
 from pointweave.plans.predicting import CACHED_SQL, PRED_SQL, REFL_SQL, ordered, pred_refl_cache, residual_color
 
@@ -58,7 +58,7 @@ def residual_symbols_color(spark, d):
 
 @query("duplicate_symbols", "pc", f"SELECT x, y, z, CASE WHEN n = 1 THEN '1' ELSE '0' || {_golomb('greatest(n - 2, 0)')} END AS bins FROM (SELECT x, y, z, count(*) AS n FROM pc GROUP BY x, y, z)")
 def duplicate_symbols(spark, d):
-    counts = point_cloud(spark, d).groupBy("x", "y", "z").agg(F.count("*").alias("n"))
+    counts = loose_points(spark, d).groupBy("x", "y", "z").agg(F.count("*").alias("n"))
     return counts.select("x", "y", "z", symbols.duplicate_bins(F.col("n")).alias("bins"))
 
 
@@ -110,4 +110,4 @@ def brick_headers(spark, d):
 @query("parameter_sets", "pc", f"SELECT * FROM (WITH box AS (SELECT {_SIDES} FROM pc) {_fields_sql('box', '', SEQUENCE)})")
 def parameter_sets(spark, d):
     """Fields of the three parameter sets, one after the other."""
-    return symbols.coded_fields(groups.bbox(point_cloud(spark, d)), [], SEQUENCE)
+    return symbols.coded_fields(groups.bbox(loose_points(spark, d)), [], SEQUENCE)

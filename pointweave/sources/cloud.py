@@ -11,16 +11,15 @@ KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 STRIDE = 4096
 
 
-def point_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """point_id, frame, x, y, z, r, g, b, refl; point_id is the rank in key order.
+ATTRIBUTES = ("frame", "x", "y", "z", "r", "g", "b", "refl")
 
-    Ranks are taken inside stretches of order keys and moved by the stretches' first ranks, so no task
-    sorts the whole table.
-    """
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key, the attributes and the stretch of every point."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     long = lambda c: F.floor(c).cast("long")
     price = long(F.col("l_extendedprice"))
-    rows = lines.select(
+    return lines.select(
         *KEY,
         (F.year("l_shipdate").cast("long") - 1995).alias("frame"),
         (F.col("l_partkey") % 128).alias("x"),
@@ -32,11 +31,41 @@ def point_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
         (price % 4096).alias("refl"),
         F.floor(F.col("l_orderkey") / STRIDE).alias("stretch"),
     )
-    counts = lines.groupBy(F.floor(F.col("l_orderkey") / STRIDE).alias("stretch")).agg(F.count("*").alias("n"))
+
+
+def _numbered(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """point_id and the attributes of rows, which hold every row of their stretches; ranks count all rows of whole.
+
+    Ranks are taken inside stretches of order keys and moved by the stretches' first ranks, so no task
+    sorts the whole table.
+    """
+    counts = whole.groupBy("stretch").agg(F.count("*").alias("n"))
     # One row for each stretch: the only table ranked in one task has STRIDE times fewer rows than orders.
     first = counts.select("stretch", (F.sum("n").over(W.orderBy("stretch")) - F.col("n")).alias("first"))
     inside = F.row_number().over(W.partitionBy("stretch").orderBy(*KEY)) - 1
-    return rows.withColumn("inside", inside).join(first, "stretch").select((F.col("first") + F.col("inside")).alias("point_id"), "frame", "x", "y", "z", "r", "g", "b", "refl")
+    return rows.withColumn("inside", inside).join(first, "stretch").select((F.col("first") + F.col("inside")).alias("point_id"), *ATTRIBUTES)
+
+
+def point_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """point_id, frame, x, y, z, r, g, b, refl; point_id is the rank in key order. Every row is shuffled for its rank."""
+    rows = _rows(spark, sf_dir)
+    return _numbered(rows, rows)
+
+
+def loose_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points without point_id; they come from the scan alone."""
+    return _rows(spark, sf_dir).select(*ATTRIBUTES)
+
+
+def points_with_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the cloud, with their point_id, among which are the first ones of all cells.
+
+    A cell's first point has its least order key, so only stretches that hold such a key are shuffled for ranks. Cells are
+    few beside the rows of a large table, and soon all of them are taken.
+    """
+    rows = _rows(spark, sf_dir)
+    least = rows.groupBy("x", "y", "z").agg(F.min("stretch").alias("stretch"))
+    return _numbered(rows.join(F.broadcast(least.select("stretch").distinct()), "stretch", "left_semi"), rows)
 
 
 def signed_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
