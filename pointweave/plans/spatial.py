@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pointweave.functions.columns import psnr
 from pointweave.operators import groups, neighbors
 from pointweave.operators.cuts import Written
-from pointweave.plans.base import STEP, first_points, lossy, point_cloud, query
+from pointweave.plans.base import STEP, coded_cells, first_points, lossy, point_cloud, query
 
 ATTRS = ("r", "g", "b", "refl")
 #: The lossy cloud put back to scale; every coordinate is whole.
@@ -33,8 +33,8 @@ def _sql(body: str, *more: str, pairs: str = PAIRS) -> str:
 
 
 def restored(spark, d):
-    """The lossy twin in the source's scale; pid is made of its cell."""
-    cells = lossy(spark, d)
+    """The lossy twin in the source's scale, written once; pid is made of its cell."""
+    cells = Written(lossy(spark, d), "lossy").df
     pid = ((F.col("x") * 1000 + F.col("y")) * 1000 + F.col("z")).alias("pid")
     return cells.select(pid, *[(F.col(c) * int(STEP)).alias(c) for c in "xyz"], *ATTRS)
 
@@ -104,9 +104,12 @@ def _means():
 @query("nearest_forward", "first lossy", _transfer("SELECT * FROM pushed"))
 def nearest_forward(spark, d):
     """Every original point pushes its attributes to all its nearest reconstructed points; those take means."""
-    own = asked(spark, d)
-    near = neighbors.nearest(own.select("qid", "x", "y", "z"), grown(spark, d))
-    return near.join(own.select("qid", *ATTRS), "qid").groupBy("pid").agg(*_means())
+    return _pushed(asked(spark, d), grown(spark, d))
+
+
+def _pushed(own, cells):
+    near = neighbors.nearest(own.select("qid", "x", "y", "z"), cells)
+    return near.join(own.select("qid", *ATTRS).hint("merge"), "qid").groupBy("pid").agg(*_means())
 
 
 @query("projected_mean", "first lossy", _transfer("SELECT pid, refl FROM pushed"))
@@ -122,21 +125,22 @@ pulled AS (SELECT far.qid AS pid, {', '.join(f'CAST(round(sum({c}) / count(*)) A
 @query("nearest_backward", "first lossy", _transfer("SELECT * FROM pulled", _BACKWARD))
 def nearest_backward(spark, d):
     """Reconstructed points that nothing was pushed to take the mean of their tied nearest originals."""
-    return _pulled(spark, d, nearest_forward(spark, d))
+    own, cells = asked(spark, d), grown(spark, d)
+    return _pulled(own, cells, _pushed(own, cells))
 
 
-def _pulled(spark, d, pushed):
-    lonely = grown(spark, d).join(pushed.select("pid"), "pid", "left_anti")
-    points = asked(spark, d)
-    near = neighbors.nearest(lonely.select(F.col("pid").alias("qid"), "x", "y", "z"), points.select(F.col("qid").alias("pid"), "x", "y", "z"))
-    met = near.select(F.col("qid").alias("own"), F.col("pid").alias("qid")).join(points.select("qid", *ATTRS), "qid")
+def _pulled(own, cells, pushed):
+    lonely = cells.join(pushed.select("pid").hint("merge"), "pid", "left_anti")
+    near = neighbors.nearest(lonely.select(F.col("pid").alias("qid"), "x", "y", "z"), own.select(F.col("qid").alias("pid"), "x", "y", "z"))
+    met = near.select(F.col("qid").alias("own"), F.col("pid").alias("qid")).join(own.select("qid", *ATTRS).hint("merge"), "qid")
     return met.groupBy(F.col("own").alias("pid")).agg(*_means())
 
 
 @query("recolour", "first lossy", _transfer("SELECT * FROM pushed UNION ALL SELECT * FROM pulled", _BACKWARD))
 def recolour(spark, d):
-    pushed = Written(nearest_forward(spark, d), "pushed").df
-    return pushed.unionByName(_pulled(spark, d, pushed))
+    own, cells = asked(spark, d), grown(spark, d)
+    pushed = Written(_pushed(own, cells), "pushed").df
+    return pushed.unionByName(_pulled(own, cells, pushed))
 
 
 @query("color_transfer", "first lossy", _transfer("SELECT pid, r, g, b FROM pushed UNION ALL SELECT pid, r, g, b FROM pulled", _BACKWARD))
@@ -216,8 +220,8 @@ _SELF = f"SELECT sqrt(max(d2)) AS resolution FROM (WITH own AS (SELECT point_id
 
 @query("intrinsic_resolution", "first", _SELF)
 def intrinsic_resolution(spark, d):
-    cells = first_points(spark, d)
-    near = neighbors.nearest(cells.select(F.col("point_id").alias("qid"), "x", "y", "z"), cells.select(F.col("point_id").alias("pid"), "x", "y", "z"), skip_zero=True)
+    cells = coded_cells(spark, d).select(F.monotonically_increasing_id().alias("pid"), "x", "y", "z")
+    near = neighbors.nearest(cells.withColumnRenamed("pid", "qid"), cells, skip_zero=True)
     return near.agg(F.sqrt(F.max("d2").cast("double")).alias("resolution"))
 
 
